@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .quality import judged, learn
+from .secrets import scanned
+from .substring_dedup import digested
 from .warc import dedup_archives, read_headers, write_archives
 
 
@@ -24,12 +27,28 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judged(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -44,6 +63,18 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM five""",
+    "op3_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(len(w) - 19)) AS start, w FROM d WHERE len(w) >= 20),
+        k AS (SELECT doc_id, start, array_to_string(w[start + 1 : start + 20], ' ') AS win FROM s),
+        l AS (SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS n FROM k),
+        g AS (SELECT doc_id, list_distinct(flatten(list(range(start, start + 20)))) AS gone FROM l WHERE n > 1 GROUP BY doc_id),
+        r AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, w, gone FROM d LEFT JOIN g USING (doc_id)),
+        u AS (SELECT doc_id, n_words, n_removed, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM r),
+        t AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS kept FROM u
+            LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM g) x ON u.doc_id = x.doc_id AND u.i = x.i WHERE x.i IS NULL GROUP BY u.doc_id)
+        SELECT r.doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM r LEFT JOIN t USING (doc_id)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
             sha256(coalesce(text, '')) AS text_sha256
