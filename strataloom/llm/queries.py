@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .encoding import round_trip
 from .exact_dedup import exact_dedup
+from .packing import packed
 from .quality import judged, learn
 from .secrets import scanned
 from .substring_dedup import digested
+from .token_counts import counted
 from .warc import dedup_archives, read_headers, write_archives
 
 
@@ -27,10 +31,33 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_file(name: str) -> str:
+    """Where the public vocabularies are: STRATALOOM_VOCABULARIES, else the installed package."""
+    folder = os.environ.get("STRATALOOM_VOCABULARIES")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, from flat token files; null ids have no document to count."""
+    return counted(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), end=50256)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judged(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
