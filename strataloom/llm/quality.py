@@ -236,9 +236,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, **how) ->
     chosen = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` ids: two long columns.
     counted = with_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    found = counted.where(~base_failed()).select("quality", *[feature(k).alias(k) for k in FEATURES]).orderBy(*FEATURES, "quality").toPandas()
+    found = counted.where(~base_failed()).select("quality", *[feature(k).alias(k) for k in FEATURES]).toPandas()
     if found.empty:
         return []
+    found = found.sort_values([*FEATURES, "quality"])  # the order of rows must not matter
     return learn_list({k: found[k].to_numpy(float) for k in FEATURES}, found["quality"].to_numpy(), **how)
 
 
