@@ -17,6 +17,8 @@ from .quality import judged, learn
 from .secrets import scanned
 from .substring_dedup import digested
 from .token_counts import counted
+from .toxicity import held_out, scored
+from .toxicity import learn as learn_toxicity
 from .warc import dedup_archives, read_headers, write_archives
 
 
@@ -59,6 +61,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), end=50256)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    return scored(docs, learn_toxicity(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judged(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_secret_scan": op9_secret_scan,
