@@ -37,8 +37,8 @@ ROWS = 4
 #: Rows of a table that is broadcast at most (two 16-byte keys each, so about 30 MB); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Members, and shingles, of one block of an exact comparison.
-BLOCK_MEMBERS = 128
-BLOCK_SHINGLES = 1 << 20
+BLOCK_MEMBERS = 1024
+BLOCK_SHINGLES = 1 << 21
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,7 +278,7 @@ def _open_links(members: DataFrame, roots: DataFrame, sets: DataFrame, least: fl
     return work.groupBy("bucket", "q", "t").applyInArrow(compare, "a binary, b binary")
 
 
-def block_links(members: np.ndarray, off: np.ndarray, query: np.ndarray, root: np.ndarray, least: float, columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+def block_links(members: np.ndarray, off: np.ndarray, query: np.ndarray, root: np.ndarray, least: float, columns: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
     """(queries, targets) of different roots whose sets are similar: overlaps are a product of 0/1 matrices."""
     size = np.diff(off)
     row = np.repeat(np.arange(len(size)), size)
