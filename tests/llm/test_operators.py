@@ -1,0 +1,502 @@
+"""The ten operators against brute force, with nulls, empty texts, ties, repeated rows, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from strataloom.llm import bpe, encoding, exact_dedup, minhash, packing, quality, queries, secrets, substring_dedup, token_counts, toxicity, warc  # noqa: E402
+
+SCHEMA = "doc_id long, text string, h long, n long, size long, bucket long, total string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+
+
+def table(spark, rows):
+    """Documents with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, 1, 2, 3, 4, "x") for i, t in rows], SCHEMA).repartition(3)
+
+
+def prose(rng, n, words="alpha beta gamma delta Épsilon zeta eta theta iota kappa lambda mu nu xi".split()):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    base = [prose(rng, n) for n in (0, 1, 3, 4, 5, 19, 20, 21, 60, 90, 120, 300)]
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(50 + i, t) for i, t in enumerate(base[5:])]  # copies
+    rows += [(70 + i, f"{prose(rng, 7)} {passage} {prose(rng, 9)}") for i in range(6)]
+    near = base[-1].split()
+    for i in range(8):
+        near = [*near]
+        near[rng.randrange(len(near))] = f"changed{i}"
+        rows.append((90 + i, "  ".join(near) if i % 2 else "\n".join(near)))
+    rows += [(200, None), (201, ""), (202, None), (203, " \t\n"), (None, "no id"), (None, "no id"), (204, "x " * 5000), (205, "y" * 200_000), (206, "dup\nline\n\ndup\nline"), (207, base[9]), (207, base[9]), (208, "a b c a b c a b c")]
+    rng.shuffle(rows)
+    return rows
+
+
+def got(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+# --- 10, 1 ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("how", [{}, {"hash_bits": 2, "capacity": 1, "max_depth": 3}, {"capacity": 2, "broadcast_keys": 0}, {"hash_bits": 3, "broadcast_keys": 0}])
+def test_exact_dedup(spark, corpus, how):
+    groups = collections.defaultdict(list)
+    for i, t in corpus:
+        groups[t or ""].append(i)
+    want = []
+    for i, t in corpus:
+        ids = [x for x in groups[t or ""] if x is not None]
+        keep = max(ids) if ids else None
+        want.append((i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    found = got(exact_dedup.exact_dedup(table(spark, corpus), **how), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert found == sorted(want, key=str)
+    assert exact_dedup.exact_dedup(table(spark, []), **how).count() == 0
+
+
+def test_directory_splits_only_full_buckets(spark):
+    # 8 keys share their first 3 bits, one stands alone: only the full bucket's path gets deeper.
+    keys = [(1 << 61) | (k << 50) for k in range(8)] + [-1]
+    slots, depth = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "h long"), capacity=2, max_depth=14)
+    rows = slots.collect()
+    assert depth == 13 and max(r.local_depth for r in rows if r.slot == (1 << 14) - 1) < 13
+    load = collections.Counter(r.bucket for r in rows)
+    assert max(load.values()) <= 2
+
+
+def test_warc(spark, tmp_path):
+    evil = "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"
+    rows = [(3, "http://a/\r\nb", "same"), (1, "http://b", "same"), (2, None, None), (4, "u", ""), (5, "u", evil * 3), (6, "u", evil * 3), (7, "u", "é" * 70000), (7, "u", "é" * 70000), (None, "u", "same"), (8, "u", "other")]
+    pages = spark.createDataFrame(rows, "row_id long, uri string, payload string").repartition(3)
+    first = warc.write_archives(spark, pages, per_archive=2)
+    out = warc.dedup_archives(spark, first, per_archive=2)
+    found = warc.resolved(spark, out).collect()
+    assert len(found) == len(rows) and all(r.found for r in found)
+    assert len({r.record_id for r in found}) == len(rows)
+
+    def b32(t):
+        return base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+
+    smallest = {"same": 1, "": 2, evil * 3: 5, "é" * 70000: 7, "other": 8}
+    kinds = collections.Counter()
+    for r in found:
+        texts = [p or "" for i, _, p in rows if i == r.row_id]
+        assert r.digest in {b32(t) for t in texts} and r.payload_bytes in {len(t.encode()) for t in texts}
+        lead = smallest[texts[0]]
+        kinds[r.row_id, r.record_type] += 1
+        if r.record_type == "revisit":
+            assert r.refers_to == lead
+        else:
+            assert r.row_id == lead
+    assert kinds[7, "response"] == 1 and kinds[7, "revisit"] == 1 and kinds[None, "revisit"] == 1
+    big = warc.read_headers(spark, warc.dedup_archives(spark, first, least_bytes=10))
+    assert big.where("record_type = 'revisit'").count() == 2
+    again = warc.read_headers(spark, warc.dedup_archives(spark, out))  # archives that hold revisits already
+    assert got(again, "row_id", "record_type", "refers_to", "digest", "payload_bytes") == got(warc.read_headers(spark, out), "row_id", "record_type", "refers_to", "digest", "payload_bytes")
+    assert warc.read_headers(spark, warc.write_archives(spark, pages.limit(0))).count() == 0
+
+
+# --- 2, 5, 4 ----------------------------------------------------------------------------------------------------------
+
+PARTS = [" ", "  ", "   ", "\n", "\t", "\xa0", " ", "\x1c", "\x85", "a", "AA", "aaaa", "b", "é", "É", "é", "́", "İ", "ſ", "ς", "ΑΣ", "K", "ß", "1", "12", "'s", "'S", "'ll", "<|endoftext|>", "<|startoftext|>", "<|end", "<", "|", ".", "...", "日本", "　", "🙂", "I'm", "\r\n", "½", "²", "_", "\x00", "¡", "Ǆ", "ñ", "×", "÷", "÷a"]
+
+
+@pytest.fixture(scope="module")
+def odd_texts():
+    rng = random.Random(1)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["aaaaaaaaaaaaaaaa" * 50, "x" * 3000, "the " * 3000]
+
+
+def library(path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_bpe_is_the_librarys(odd_texts):
+    lib, own = library(BYTE_BPE), bpe.vocabulary(BYTE_BPE)
+    want = [e.ids for e in lib.encode_batch(odd_texts, add_special_tokens=False)]
+    ids, off = own.encode(pa.array([*odd_texts, None]))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(off)] == [*want, []]
+    assert own.decode(ids, off) == [*lib.decode_batch(want, skip_special_tokens=False), ""]
+    assert own.decode(np.array([250, 13], np.int32), np.array([0, 1, 2]))[1] == lib.decode([13], skip_special_tokens=False)
+
+
+def test_merges_in_any_order_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(BYTE_BPE, encoding="utf-8"))
+    letters = bpe.byte_letters()
+    vocab = {c: i for i, c in enumerate(letters)} | {"ab": 256, "abc": 257}
+    spec["model"] |= {"vocab": vocab, "merges": [["ab", "c"], ["a", "b"]]}
+    spec["added_tokens"] = []
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(path))
+
+
+def test_encoding_round_trip(spark, corpus):
+    df = encoding.round_trip(table(spark, corpus), BYTE_BPE)
+    lib = library(BYTE_BPE)
+    want = []
+    for i, t in corpus:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got(df, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
+    tokens = encoding.encoded(table(spark, corpus), BYTE_BPE)
+    assert got(encoding.decoded(tokens, BYTE_BPE), "doc_id", "text") == sorted(((i, t or "") for i, t in corpus), key=str)
+    assert encoding.round_trip(table(spark, []), BYTE_BPE).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 100, 1 << 19])
+def test_token_counts(spark, corpus, block):
+    lib = library(BYTE_BPE)
+    df = token_counts.counted(table(spark, corpus), BYTE_BPE, 50256, block_tokens=block).persist()
+    assert got(df, "doc_id", "n_tokens") == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in corpus if i is not None), key=str)
+    for _, rows in itertools.groupby(sorted(df.collect(), key=lambda r: (r.stream, r.ordinal)), key=lambda r: r.stream):
+        at = 0
+        for n, r in enumerate(rows):
+            assert (r.ordinal, r.start) == (n, at)
+            at += r.n_tokens + 1
+    assert token_counts.counted(table(spark, []), BYTE_BPE, 50256).count() == 0
+
+
+def test_flat_files_span_documents(spark, tmp_path):
+    lengths = [5, 0, 0, 40, 1, 7, 300, 2]
+    run = np.concatenate([np.append(np.arange(n) % 50, 999) for n in lengths] + [np.arange(4)]).astype("<u2")
+    at = 0
+    for k, n in enumerate((3, 60, 1, 200, 10_000)):  # documents lie across files
+        (tmp_path / f"{k:03d}.bin").write_bytes(run[at : at + n].tobytes())
+        at += n
+    found = token_counts.documents_in(token_counts.flat_files(spark, str(tmp_path), 2, block_tokens=16), 999).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.terminated) for r in found] == [*[(n, True) for n in lengths], (4, False)]
+    assert [r.start for r in found] == np.cumsum([0, *[n + 1 for n in lengths]]).tolist()
+    (tmp_path / "bad.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="within an identifier"):
+        token_counts.documents_in(token_counts.flat_files(spark, str(tmp_path), 2), 999).count()
+
+
+def test_word_tokenizer_is_the_librarys(odd_texts):
+    lib, own = library(WORD_BPE), packing.word_tokenizer(WORD_BPE)
+    want = [e.ids for e in lib.encode_batch(odd_texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from what is remembered
+        ids, off = own.encode(pa.array(odd_texts))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(off)] == want
+
+
+@pytest.mark.parametrize("tiers", [packing.TIERS, (4, 16, 64)])
+def test_packing(spark, corpus, tiers):
+    lib = library(WORD_BPE)
+    df = packing.packed(table(spark, corpus), WORD_BPE, tiers=tiers, step_tokens=tiers[-1] * 2, with_ids=True)
+    rows = df.collect()
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id, r.doc_tokens].append(r)
+    want = collections.Counter()
+    for i, t in corpus:
+        want[i, tuple([*lib.encode(t or "", add_special_tokens=False).ids, 2])] += 1
+    assert sum(r.length for r in rows) == sum(len(ids) * n for (_, ids), n in want.items())
+    for (i, ids), n in want.items():
+        mine = [r for r in pieces[i, len(ids)] if tuple(np.frombuffer(r.ids, "<u4")) == ids[r.start : r.start + r.length] and zlib.crc32(r.ids) == r.ids_crc32]
+        covered = collections.Counter(p for r in mine for p in range(r.start, r.start + r.length))
+        assert covered == {p: n for p in range(len(ids))}
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in group:
+            assert r.offset == at
+            at += r.length
+        assert at == r.sequence_length <= tiers[-1] and at & (at - 1) == 0
+    steps = collections.defaultdict(set)
+    for r in rows:
+        steps[r.step_group].add((r.sequence_id, r.sequence_length))
+    assert all(sum(n for _, n in s) <= tiers[-1] * 2 and len({n for _, n in s}) == 1 for s in steps.values())
+    assert packing.packed(table(spark, []), WORD_BPE).count() == 0
+
+
+# --- 3 ----------------------------------------------------------------------------------------------------------------
+
+
+def removed(rows, width):
+    """Brute force over all windows."""
+    ids = [(substring_dedup.NO_ID if i is None else i) for i, _ in rows]
+    words = [WORD.findall(t or "") for _, t in rows]
+    first: dict[tuple, tuple] = {}
+    for i, w in zip(ids, words, strict=True):
+        for s in range(len(w) - width + 1):
+            key = tuple(w[s : s + width])
+            first[key] = min(first.get(key, (i, s)), (i, s))
+    gone = collections.defaultdict(set)
+    for i, w in zip(ids, words, strict=True):
+        for s in range(len(w) - width + 1):
+            if first[tuple(w[s : s + width])] != (i, s):
+                gone[i] |= set(range(s, s + width))
+    out = []
+    for (i, _), key, w in zip(rows, ids, words, strict=True):
+        kept = [x for n, x in enumerate(w) if n not in gone[key]]
+        out.append((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("width,how", [(20, {}), (20, {"bucket_bytes": 100}), (6, {"group": 3}), (2, {"group": 1})])
+def test_substring_dedup(spark, corpus, width, how):
+    found = substring_dedup.digested(table(spark, corpus), width, **how)
+    assert got(found, "doc_id", "n_words", "n_removed", "kept_sha256") == removed(corpus, width)
+    assert substring_dedup.digested(table(spark, []), width, **how).count() == 0
+
+
+def test_windows_of_one_hash_are_told_apart():
+    codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32)
+    at = np.array([0, 3, 6])
+    later = substring_dedup.later_windows(np.zeros(3, np.uint64), codes, at, np.array([5, 6, 7]), np.zeros(3, np.int64), 3)
+    assert later.tolist() == [False, False, True]
+
+
+# --- 6, 7, 9 ----------------------------------------------------------------------------------------------------------
+
+
+def test_folding_and_matching():
+    assert toxicity.folded("1D10T ｉｄｉｏｔ m0rοn $tupid") == toxicity.folded("idiot idiot moron stupid")
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "lowe*".replace("l", "i"): 3.0}, (toxicity.folded("idiot proof"),))
+    a = lexicon.automaton()
+
+    def total(text):
+        return sum(m[2] for m in toxicity.matches(toxicity.folded(text), a))
+
+    assert total("You 1d10t!") == 2.0 and total("idiots idiotic") == 0 and total("an idiot proof lock") == 0
+    assert total("lowell flowell lowe") == 6.0 and total("") == 0 and toxicity.matches("x", toxicity.Lexicon().automaton()) == []
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = prose(rng, 60) + f" doc{i}"
+        if bad:
+            text = text.replace("kappa", rng.choice(["m0ron", "lowering", "lowed"]), 3) + " moron"
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    rows += [(900, None), (901, ""), (None, "moron"), (902, "kind words"), (902, "kind words")]
+    docs = table(spark, rows)
+    lab = spark.createDataFrame([*labels, (None, 1), (5000, None), (6000, 1)], "doc_id long, label int")
+    lexicon = toxicity.learn(docs, lab)
+    assert "moron" in lexicon.weights and len(lexicon.weights) < 10
+    scores = {(r.doc_id): r for r in toxicity.scored(docs, lexicon).collect()}
+    assert sum((scores[i].predicted == y) for i, y in labels) >= 395
+    assert scores[900].score == scores[901].score == scores[902].score < 0.5 < scores[None].score <= 1
+    assert toxicity.scored(docs, lexicon).count() == len(rows)
+    none = toxicity.learn(docs, lab.where("label = 0"))
+    assert toxicity.scored(docs, none).where("score >= 0.5").count() == 0
+    assert toxicity.scored(table(spark, []), toxicity.learn(table(spark, []), lab.limit(0))).count() == 0
+
+
+def test_quality_counts(spark, corpus):
+    want = []
+    for i, t in corpus:
+        t = t or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        windows = collections.defaultdict(list)
+        for s in range(len(w) - 2):
+            windows[tuple(w[s : s + 3])].append(s)
+        repeat = len({s + k for at in windows.values() if len(at) > 1 for s in at for k in range(3)})
+        n = len(w)
+        want.append((i, n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, repeat, n < 50 or 100 * repeat > 50 * n))
+    found = quality.judged(table(spark, corpus), [])
+    assert got(found, "doc_id", *quality.COUNTS[:5], "base_failed") == sorted(want, key=str)
+    assert found.where("kept = base_failed").count() == 0
+    assert quality.judged(table(spark, []), []).count() == 0
+
+
+def test_repeats_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(quality, "mixed", lambda x: x * np.uint64(0))
+    codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32)
+    assert quality.repeated_words(codes, np.array([0, 9])).tolist() == [6]
+
+
+def test_decision_list_learns():
+    rng = np.random.default_rng(0)
+    n = 3000
+    x = {"a": rng.random(n), "b": rng.random(n), "noise": rng.random(n)}
+    bad = ((x["a"] > 0.8) & (x["b"] <= 0.5)) | (x["b"] > 0.95)
+    y = np.where(bad, 0, 1)
+    rules = quality.learn_list(x, y)
+    hit = np.zeros(n, bool)
+    for r in rules:
+        hit |= quality.covers(r, x, n)
+    assert (hit & bad).sum() > 0.9 * bad.sum() and (hit & ~bad).sum() < 0.03 * n
+    assert quality.learn_list(x, np.ones(n)) == [] and quality.learn_list({k: v[:0] for k, v in x.items()}, y[:0]) == []
+
+
+def test_quality_rules_become_columns(spark):
+    docs = table(spark, [(1, "a* " * 20 + prose(random.Random(1), 80)), (2, prose(random.Random(2), 100))])
+    rules = [(quality.Literal("symbols_per_word", True, 0.1), quality.Literal("words", True, 50.0))]
+    assert got(quality.judged(docs, rules), "doc_id", "kept", "rule") == [(1, False, 1), (2, True, 0)]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    assert quality.learn(docs, labels) == []
+
+
+def test_secret_spans(spark):
+    long_key = "A" * 40
+    texts = [
+        "password=" + "x" * 12 + " pwd", "PaSsWoRd : 'abcdefghijkl'", "token:secret:abcdefghijklmnop", "secret=short password=longlonglonglong", "api_key=\"" + "k" * 30 + '" apikey = ' + "v" * 12,
+        "AKIA" + "B" * 14, "AKIA" + "B" * 13, "é🙂 " + "0123456789abcdef" * 3, "0123456789abcde", "tokentoken=abcdefghijklmnop", "", None, "ghp_" + long_key, "xoxb-" + "1" * 20 + " -----BEGIN RSA PRIVATE KEY-----",
+        "a" * 5000, "f" * 3000 + "g" + "password=" + "p" * 3000, "ſecret=abcdefghijklmno", "passwd=abc\npassword=abcdefghijklm", "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + ".c", "pass" * 400 + "word=" + "z" * 20,
+    ]
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3])]
+    names = [r.kind for r in secrets.RULES]
+
+    def brute(text):
+        raw, out = (text or "").encode(), []
+        for k, r in enumerate(secrets.RULES):
+            out += [(len(raw[:a].decode()), k, len(raw[:b].decode())) for a, b in r.spans(raw)]
+        return sorted(out)
+
+    want = []
+    for i, t in rows:
+        spans = brute(t)
+        base = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans if k < 3)
+        counts = [sum(k == n for _, k, _ in spans) for n in range(3)]
+        want.append((i, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)))
+    found = secrets.scanned(table(spark, rows))
+    assert got(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == sorted(want, key=str)
+    assert secrets.scanned(table(spark, [])).count() == 0
+    clean = {r.doc_id: r.text for r in secrets.redacted(table(spark, rows)).collect()}
+    assert clean[11] is None and clean[8] == texts[8] and clean[0] == "[secret] pwd" and clean[15].endswith("g[secret]")
+
+
+def test_automaton_is_one_sequential_pass():
+    a = secrets.compiled()
+    rng = random.Random(2)
+    parts = ["password", "pass", "tok", "token", "=", ": ", "'", "abcdef0123", "AKIA", "Z9", " ", "ghp_", "é", "\n", "secret", "api", "_", "key"]
+    data = np.frombuffer("".join(rng.choice(parts) for _ in range(4000)).encode(), np.uint8)
+
+    def hits(lane, every):
+        return sorted(zip(*[x.tolist() for x in a.hits(data, lane, every)], strict=True))
+
+    want, state = [], a.start
+    for i, c in enumerate(a.classes[data].tolist()):
+        old, state = state, int(a.table[state * a.width + c]) // a.width
+        if fresh := int(a.masks[state] & ~a.masks[old]):
+            want.append((i, fresh))
+    assert set(want) <= set(hits(1 << 16, 16)) and len(want) > 50
+    for lane in (16, 48):
+        places = {p for p, _ in hits(lane, 16)}
+        assert {p for p, _ in want} <= places
+
+
+# --- 8 ----------------------------------------------------------------------------------------------------------------
+
+
+def similarity(a, b):
+    total = sum((a | b).values())
+    return sum((a & b).values()) / total if total else 1.0
+
+
+def bag(text):
+    w = WORD.findall(text or "")
+    return collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else []))
+
+
+def test_signatures_are_unbiased():
+    rng = np.random.default_rng(0)
+    off = []
+    for _ in range(40):
+        n = rng.integers(5, 60)
+        key = rng.integers(1, 2**62, n).astype(np.uint64)
+        a, b = rng.integers(0, 9, n), rng.integers(0, 9, n)
+        b = np.where(rng.random(n) < 0.7, a, b)
+        if not a.sum() or not b.sum():
+            continue
+        doc = np.repeat([0, 1], [(a > 0).sum(), (b > 0).sum()])
+        s = minhash.signatures(doc, np.concatenate([key[a > 0], key[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]), 2, 1024)
+        assert np.isfinite(s).all()
+        off.append((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.03
+
+
+@pytest.mark.parametrize("how", [{}, {"block_members": 2, "block_shingles": 50}])
+def test_near_duplicates(spark, how):
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        words = prose(rng, 120, [f"{g}w{k}" for k in range(300)]).split()
+        for i in range(7):
+            copy = [*words]
+            for _ in range(i):
+                copy[rng.randrange(len(copy))] = f"new{g}{i}{rng.random()}"
+            rows.append((g * 100 + i, " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "one  two"), (904, "one three"), (905, rows[0][1]), (905, rows[0][1]), (None, rows[8][1]), (None, "alone here"), (906, "r " * 4000), (907, "r " * 4200)]
+    bags = [bag(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if rows[a][1] == rows[b][1] or ((rows[a][1] or "") == (rows[b][1] or "")) or (bags[a] and bags[b] and similarity(bags[a], bags[b]) >= 0.8):
+            parent[top(a)] = top(b)
+    classes = collections.defaultdict(list)
+    for x in range(len(rows)):
+        classes[top(x)].append(rows[x][0])
+    want = []
+    for x, (i, _) in enumerate(rows):
+        ids = [k for k in classes[top(x)] if k is not None]
+        lead = min(ids) if ids else None
+        want.append((i, lead, len(classes[top(x)]), i == lead))
+    found = minhash.near_duplicates(table(spark, rows), **how)
+    assert got(found, "doc_id", "class_id", "class_size", "kept") == sorted(want, key=str)
+    assert minhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_block_links_keep_components():
+    sets = [list(range(20)), list(range(1, 21)), list(range(2, 22)), list(range(50, 70)), list(range(49, 69))]
+    members = np.array(sum(sets, []), np.uint64)
+    off = np.cumsum([0, *map(len, sets)])
+    q, t = minhash.block_links(members, off, np.array([True, False, False, True, False]), np.array([0, 1, 1, 2, 3]), 0.8)
+    assert sorted(zip(q.tolist(), t.tolist(), strict=True)) == [(0, 1), (3, 4)]
+
+
+def test_components_of_long_chains(spark):
+    def node(n):
+        return bytearray(n.to_bytes(16, "big"))
+
+    links = [(node(i), node(i + 1)) for i in range(60)] + [(node(200), node(i)) for i in range(201, 230)] + [(node(300), node(300))]
+    rows = minhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()
+    found = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in rows}
+    assert found == {i: 0 for i in range(1, 61)} | {i: 200 for i in range(201, 230)}
+
+
+def test_queries_are_registered():
+    numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}
+    assert numbers == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert F is not None
