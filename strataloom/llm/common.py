@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
@@ -24,6 +25,12 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+try:  # glibc has it
+    _MALLOC_TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _MALLOC_TRIM = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
     # Workers that are not started from the repository find the package through this.
@@ -88,6 +95,13 @@ def blocks(lengths: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
             yield a, b
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; workers are used again and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """The rows of `it` in tables of about `limit` bytes of `column`; small batches are joined."""
     held: list[pa.RecordBatch] = []
@@ -98,10 +112,14 @@ def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLO
             held.append(batch.slice(a, b - a))
             size += int(off[b] - off[a])
             if size >= limit // 2:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
+                whole, held, size = pa.Table.from_batches(held), [], 0
+                yield whole
+                del whole
+                trim()
     if held:
         yield pa.Table.from_batches(held)
+        del held
+    trim()
 
 
 class Words:
@@ -119,7 +137,8 @@ class Words:
         first[inner] = solid[inner]
         self.starts = np.flatnonzero(first)
         packed = data[solid]
-        place = np.cumsum(solid, dtype=np.int64)[self.starts] - 1 if len(self.starts) else np.zeros(0, np.int64)
+        short = np.int32 if len(data) < 2**31 else np.int64
+        place = (np.cumsum(solid, dtype=short)[self.starts] - 1).astype(np.int64)
         edges = np.append(place, len(packed))
         kind, of = (np.int32, pa.binary()) if len(packed) < 2**31 - 1 else (np.int64, pa.large_binary())
         words = pa.Array.from_buffers(of, len(self.starts), [None, pa.py_buffer(edges.astype(kind)), pa.py_buffer(packed)])

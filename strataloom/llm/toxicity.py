@@ -34,7 +34,7 @@ MOST_ENTRIES, LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 500, 5, 3.5, 3.2
 #: Lengths of stems.
 STEMS = range(3, 9)
 #: Terms that a task counts before it hands them on.
-HELD_TERMS = 500_000
+HELD_TERMS = 100_000
 
 # Letters of other scripts that look like a Latin letter, and characters that stand for one.
 HOMOGLYPHS = {
@@ -190,7 +190,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             held[1].clear()
             return batch
 
-        for block in batches(it, limit=1 << 20):
+        for block in batches(it, limit=1 << 18):
             for y, text in zip(block["label"].to_pylist(), block["text"].to_pylist(), strict=True):
                 words = {w for w in WORD.findall(folded(text)) if len(w) >= 3}
                 held[y].update(words)
