@@ -18,10 +18,12 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,54 +34,107 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of one step group.
 STEP_TOKENS = 64 * 4096
 #: Bytes of text that are tokenised and packed together.
-BATCH_BYTES = 24 << 20
-#: Words whose letters a tokenizer lower-cases one by one and leaves composed; all others go to it as they are.
-_PLAIN = r"(?:(?!<\|)[\x21-\x7e\xa1-įı-ɏ])+"
-_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BATCH_BYTES = 8 << 20
+#: Parts of words whose ids a worker remembers; beyond that it begins anew.
+KNOWN_PARTS = 1_000_000
+# Byte classes: 1 letter, 2 digit, 3 other sign, 0 what is left to the library: white space, controls, the
+# apostrophe (contractions) and all characters but ASCII and the letters U+00C0 to U+00FF.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[0x27] = 0
+
+
+def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts of parts, whether a word is easy) for words given as bytes.
+
+    Easy words have ASCII signs and letters and the letters from U+00C0 to U+00FF only, which are composed and
+    lower-cased one by one; their parts end where the class of the characters changes, and digits stand alone.
+    """
+    n = len(data)
+    kind = _CLASS[data]
+    lead = data == 0xC3
+    tail = np.zeros(n, bool)
+    tail[1:] = lead[:-1]
+    letter = tail & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    kind[letter] = 1
+    kind[np.append(letter[1:], False) & lead] = 1
+    bad = kind == 0
+    bad[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # may begin an added token
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum(bad, out=total[1:])
+    easy = total[off[1:]] == total[off[:-1]]
+    lower = data.copy()
+    lower[(data >= 65) & (data <= 90)] += 32
+    lower[letter & (data <= 0x9E)] += 32
+    begin = np.ones(n, bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begin[off[:-1][off[:-1] < n]] = True
+    return lower, begin, easy
 
 
 class WordTokenizer:
-    """A word-level tokenizers file that drops white space: equal parts of words are encoded once a block."""
+    """A word-level tokenizers file that drops white space: equal parts of words are encoded once a worker."""
 
     def __init__(self, path: str):
-        import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.plain = regex.compile(_PLAIN)
-        self.parts = regex.compile(_PARTS)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.known_off, self.known_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct parts."""
+        place = pc.index_in(parts, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        sizes, runs = [], []
+        for at in range(0, len(new), 20_000):
+            texts = [x.decode("utf-8", "replace") for x in parts.take(pa.array(new[at : at + 20_000])).to_pylist()]
+            lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            runs.append(np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+        place[new] = len(self.known) + np.arange(len(new))
+        all_ids = np.concatenate([self.known_ids, *runs])
+        all_off = np.append(self.known_off, self.known_off[-1] + np.cumsum(np.concatenate(sizes))) if sizes else self.known_off
+        if len(new):
+            self.known = pa.concat_arrays([self.known, parts.take(pa.array(new))])
+            self.known_ids, self.known_off = all_ids, all_off
+        size = np.diff(all_off)[place]
+        ids = all_ids[ragged(all_off[:-1][place], size)]
+        if len(self.known) > KNOWN_PARTS:
+            self._forget()
+        return ids, np.append(0, np.cumsum(size))
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct words."""
+        data, off = as_bytes(words)
+        lower, begin, easy = split_words(data, off)
+        hard = np.flatnonzero(~easy)
+        # Hard words go to the library whole.
+        begin[ragged(off[:-1][hard], np.diff(off)[hard])] = False
+        begin[off[:-1][hard]] = True
+        whole = np.repeat(~easy, np.diff(off))
+        lower[whole] = data[whole]
+        starts = np.flatnonzero(begin)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(lower)]).dictionary_encode()
+        ids, edges = self._encode_parts(parts.dictionary)
+        codes = parts.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(edges)[codes]
+        return ids[ragged(edges[:-1][codes], size)], np.append(0, np.cumsum(size))[np.searchsorted(starts, off)]
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a block of texts."""
         w = Words(*as_bytes(texts))
-        words = [x.decode("utf-8", "replace") for x in w.dictionary.to_pylist()]
-        flat: list[str] = []
-        counts = np.zeros(len(words), np.int64)
-        plain, find = self.plain.fullmatch, self.parts.findall
-        for i, word in enumerate(words):
-            simple = word.isprintable() and "<|" not in word if word.isascii() else plain(word)
-            found = find(word.lower()) if simple else [word]
-            counts[i] = len(found)
-            flat += found
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        del flat, words
-        sizes, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for at in range(0, len(coded.dictionary), 20_000):
-            parts = coded.dictionary.slice(at, 20_000).to_pylist()
-            lists = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-            runs.append(np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
-        size, ids = np.concatenate(sizes), np.concatenate(runs)
-        begin = np.cumsum(size) - size
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        # Parts to words, then words to texts.
-        part_size = size[codes]
-        word_ids = ids[ragged(begin[codes], part_size)]
-        edge = np.append(0, np.cumsum(part_size))[np.append(0, np.cumsum(counts))]
-        word_size = np.diff(edge)[w.codes]
-        return word_ids[ragged(edge[:-1][w.codes], word_size)], np.append(0, np.cumsum(word_size))[w.offsets]
+        ids, edge = self._encode_words(w.dictionary)
+        size = np.diff(edge)[w.codes]
+        return ids[ragged(edge[:-1][w.codes], size)], np.append(0, np.cumsum(size))[w.offsets]
 
 
 @functools.lru_cache(maxsize=4)
