@@ -20,10 +20,15 @@ from ..types import FieldType
 
 @dataclass(frozen=True)
 class Layout:
-    """The schema version that reads see, and the first commit written under it (0: from the start)."""
+    """The schema version that reads see, and the first commit written under it (0: from the start).
+
+    single: each identity has one version only, so the latest needs no choice: conditions reach the scan and
+    nothing is shuffled for it.
+    """
 
     schema_version_id: int | None = None
     activation: int = 0
+    single: bool = False
 
 
 class Provider(Protocol):
@@ -130,12 +135,12 @@ def state(provider: Provider, cls: type, mode: Mode) -> tuple[DataFrame, dict[st
         return provider.history(cls, upper=-1).limit(0), told
     if mode.name == "as_of":
         rows = temporal.of_version(provider.history(cls, upper=mode.commit_id), layout.schema_version_id)
-        return temporal.as_of(rows, mode.commit_id, key), None
+        return (rows.where(F.col("commit_id") <= mode.commit_id) if layout.single else temporal.as_of(rows, mode.commit_id, key)), None
     if mode.name == "since":
         rows = temporal.of_version(provider.history(cls, lower=mode.commit_id), layout.schema_version_id)
         return temporal.since(rows, mode.commit_id), None
     rows = temporal.of_version(provider.history(cls), layout.schema_version_id)
-    return (rows if mode.name == "history" else temporal.latest(rows, key)), None
+    return (rows if mode.name == "history" or layout.single else temporal.latest(rows, key)), None
 
 
 def _field(cls: type, ref: FieldRef, column: Column) -> tuple[Column, FieldType]:

@@ -121,19 +121,22 @@ def _relation(df: DataFrame, left_key: str, right_key: str, fields: list[tuple[s
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> FrameProvider:
-    """All types over the tables of a folder. Only those that a query uses are read."""
-    p = FrameProvider(spark)
+    """All types over the tables of a folder. Only those that a query uses are read.
+
+    Tables whose keys are unique are marked as single versions; the versions of `UserState` are not.
+    """
+    p, single = FrameProvider(spark), Layout(single=True)
     for cls in _TABLES:
-        p.add(cls, _entity(spark, sf_dir, cls))
+        p.add(cls, _entity(spark, sf_dir, cls), single)
     events = _table(spark, sf_dir, "events")
     state = [("event_type", F.col("event_type")), ("value", F.col("value")), ("props", F.col("props"))]
     p.add(UserState, temporal.history_frame(events, [("key", F.col("user_id"))], F.col("event_id") + 1, [("user_id", F.col("user_id")), *state]))
     logs = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("kind"), "value"))).alias("seen"))
-    p.add(UserLog, temporal.history_frame(logs, [("key", F.col("user_id"))], F.lit(1), [("user_id", F.col("user_id")), ("seen", F.col("seen"))]))
-    p.add(Placed, _relation(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", [("status", "o_orderstatus"), ("price", "o_totalprice")]))
-    p.add(LivesIn, _relation(_table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", []))
-    p.add(PartOf, _relation(_table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", []))
-    p.add(LabelOf, _relation(_table(spark, sf_dir, "documents"), "doc_id", "doc_id", [("n_chars", "n_chars")]))
+    p.add(UserLog, temporal.history_frame(logs, [("key", F.col("user_id"))], F.lit(1), [("user_id", F.col("user_id")), ("seen", F.col("seen"))]), single)
+    p.add(Placed, _relation(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", [("status", "o_orderstatus"), ("price", "o_totalprice")]), single)
+    p.add(LivesIn, _relation(_table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", []), single)
+    p.add(PartOf, _relation(_table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", []), single)
+    p.add(LabelOf, _relation(_table(spark, sf_dir, "documents"), "doc_id", "doc_id", [("n_chars", "n_chars")]), single)
     p.add(Said, _relation(_table(spark, sf_dir, "conversations"), "conv_id", "conv_id", [("role", "role")], "turn"))
     return p
 

@@ -318,6 +318,8 @@ class Store:
 
     def latest_rows(self, cls: type) -> DataFrame:
         """The newest version of each identity, of any schema version."""
+        if len(self.entries(cls.kind, cls.type_name)) == 0:
+            return self.history(cls)
         return temporal.latest(self.history(cls), keys_of(cls.kind))
 
     def point(self, cls: type, *key: str) -> dict[str, Any] | None:
@@ -400,9 +402,12 @@ class Store:
             return None
         mine = [x for x in self.layouts() if (x["kind"], x["type_name"]) == (cls.kind, cls.type_name)]
         active = next((x for x in mine if x["is_current"]), None)
+        # A commit holds an identity once, so what one commit wrote has one version of each.
+        entries = self.entries(cls.kind, cls.type_name)
+        single = len(entries) <= 1 and all(e["min_commit_id"] == e["max_commit_id"] for e in entries)
         if active is None:
-            return Layout(current["schema_version_id"], 0)
-        return Layout(active["schema_version_id"], active["activation_commit_id"])
+            return Layout(current["schema_version_id"], 0, single)
+        return Layout(active["schema_version_id"], active["activation_commit_id"], single)
 
     def assert_current(self, cls: type, version: int) -> None:
         """An error if the stored schema moved on since it was validated."""

@@ -291,3 +291,16 @@ def test_maintenance(spark, tmp_path):
     again.ensure(Customer(id="new", name="n", age=1))
     again.commit()
     assert [c.id for c in again.query().entities(Customer).collect()] == ["new"]
+
+
+def test_single_versions_need_no_choice(shop):
+    def plan(q):
+        return q.state_df()._jdf.queryExecution().optimizedPlan().toString()
+
+    q = shop.query().entities(Product)
+    assert shop.store.layout(Product).single and "Window" not in plan(q)
+    assert shop.query().entities(Product).as_of(0).collect() == [] and q.as_of(1).count() == 2
+    shop.ensure(Product(sku="p1", name="Widget", price=1.0, category="Tools"))
+    shop.commit()
+    assert not shop.store.layout(Product).single and "Window" in plan(q)
+    assert sorted(p.price for p in q.collect()) == [1.0, 49.99]
