@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, batches, hashed, mixed, ragged, stored, windows
+from .common import Words, as_bytes, batches, hashed, mixed, ragged, stored, trim, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -201,6 +201,7 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
                 common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
                 keep[i] = common >= least * (len(a) + len(b) - common) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        trim()
 
     return pairs.select("a", "b", "a_members", "b_members").mapInArrow(compare, "a binary, b binary")
 
@@ -273,13 +274,18 @@ def _open_links(members: DataFrame, roots: DataFrame, sets: DataFrame, least: fl
         roots_ = table["root"].to_pylist()
         raw, off = as_bytes(table["members"])
         a, b = block_links(np.frombuffer(raw.tobytes(), "<u8"), off // 8, query, np.unique(np.array(roots_, dtype=object), return_inverse=True)[1], least)
+        trim()
         return pa.Table.from_arrays([pa.array([nodes[i] for i in a], pa.binary()), pa.array([nodes[i] for i in b], pa.binary())], names=["a", "b"])
 
     return work.groupBy("bucket", "q", "t").applyInArrow(compare, "a binary, b binary")
 
 
 def block_links(members: np.ndarray, off: np.ndarray, query: np.ndarray, root: np.ndarray, least: float, columns: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
-    """(queries, targets) of different roots whose sets are similar: overlaps are a product of 0/1 matrices."""
+    """(queries, targets) of different roots whose sets are similar: overlaps are a product of 0/1 matrices.
+
+    Of the links that join the same roots, directly or through others of the block, one chain is given: fewer links
+    than roots, with the same components.
+    """
     size = np.diff(off)
     row = np.repeat(np.arange(len(size)), size)
     ids, column = np.unique(members, return_inverse=True)
@@ -305,8 +311,24 @@ def block_links(members: np.ndarray, off: np.ndarray, query: np.ndarray, root: n
         common += left @ right.T
     union = size[q][:, None] + size[t][None, :] - common
     hit = (common >= least * union - 1e-9) & (root[q][:, None] != root[t][None, :])
-    i, j = np.nonzero(hit)
-    return q[i], t[j]
+    parent = np.arange(int(root.max(initial=-1)) + 1)
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    left, right = [], []
+    for i in np.flatnonzero(hit.any(axis=1)).tolist():
+        others = np.flatnonzero(hit[i])
+        for j in others[np.unique(root[t[others]], return_index=True)[1]].tolist():
+            a, b = top(int(root[q[i]])), top(int(root[t[j]]))
+            if a != b:
+                parent[a] = b
+                left.append(int(q[i]))
+                right.append(int(t[j]))
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:

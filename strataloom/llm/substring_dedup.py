@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, batches, hashed, input_bytes, mixed, ragged, windows
+from .common import Words, as_bytes, batches, hashed, input_bytes, mixed, ragged, trim, windows
 
 WIDTH = 20
 GROUP = 4
@@ -200,6 +200,8 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH, group: int = GROUP,
         packed = [x[1:] for x in blobs if x[:1] == b"K"]
         if packed:
             found.append(np.stack(later_in_bucket(packed, width)))
+            del packed, blobs
+        trim()
         return out(np.concatenate(found, axis=1))
 
     sent = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(emit, "bucket long, blob binary")
