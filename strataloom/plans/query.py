@@ -6,6 +6,7 @@ A query's rows come from a provider: `history(cls)` gives the type's versions (s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
@@ -549,18 +550,23 @@ class QueryBuilder:
 
 @dataclass
 class FrameProvider:
-    """Histories that are DataFrames already: any table can be queried as entities or relations."""
+    """Histories that are DataFrames already: any table can be queried as entities or relations.
+
+    A history may be a function that returns one: it is called when a query first needs it.
+    """
 
     spark: SparkSession
-    frames: dict[type, DataFrame] = field(default_factory=dict)
+    frames: dict[type, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     layouts: dict[type, Layout] = field(default_factory=dict)
 
-    def add(self, cls: type, history: DataFrame, layout: Layout | None = None) -> FrameProvider:
+    def add(self, cls: type, history: DataFrame | Callable[[], DataFrame], layout: Layout | None = None) -> FrameProvider:
         self.frames[cls] = history
         self.layouts[cls] = layout or Layout()
         return self
 
     def history(self, cls: type, lower: int | None = None, upper: int | None = None) -> DataFrame:
+        if callable(self.frames[cls]):
+            self.frames[cls] = self.frames[cls]()
         return self.frames[cls]
 
     def layout(self, cls: type) -> Layout | None:

@@ -126,18 +126,29 @@ def graph_of(spark: SparkSession, sf_dir: str) -> FrameProvider:
     Tables whose keys are unique are marked as single versions; the versions of `UserState` are not.
     """
     p, single = FrameProvider(spark), Layout(single=True)
+
+    def table(name: str) -> DataFrame:
+        return _table(spark, sf_dir, name)
+
     for cls in _TABLES:
-        p.add(cls, _entity(spark, sf_dir, cls), single)
-    events = _table(spark, sf_dir, "events")
-    state = [("event_type", F.col("event_type")), ("value", F.col("value")), ("props", F.col("props"))]
-    p.add(UserState, temporal.history_frame(events, [("key", F.col("user_id"))], F.col("event_id") + 1, [("user_id", F.col("user_id")), *state]))
-    logs = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("kind"), "value"))).alias("seen"))
-    p.add(UserLog, temporal.history_frame(logs, [("key", F.col("user_id"))], F.lit(1), [("user_id", F.col("user_id")), ("seen", F.col("seen"))]), single)
-    p.add(Placed, _relation(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", [("status", "o_orderstatus"), ("price", "o_totalprice")]), single)
-    p.add(LivesIn, _relation(_table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", []), single)
-    p.add(PartOf, _relation(_table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", []), single)
-    p.add(LabelOf, _relation(_table(spark, sf_dir, "documents"), "doc_id", "doc_id", [("n_chars", "n_chars")]), single)
-    p.add(Said, _relation(_table(spark, sf_dir, "conversations"), "conv_id", "conv_id", [("role", "role")], "turn"))
+        p.add(cls, lambda cls=cls: _entity(spark, sf_dir, cls), single)
+
+    def states() -> DataFrame:
+        fields = [(n, F.col(n)) for n in ("user_id", "event_type", "value", "props")]
+        return temporal.history_frame(table("events"), [("key", F.col("user_id"))], F.col("event_id") + 1, fields)
+
+    def logs() -> DataFrame:
+        seen = F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("kind"), "value")))
+        rows = table("events").groupBy("user_id").agg(seen.alias("seen"))
+        return temporal.history_frame(rows, [("key", F.col("user_id"))], F.lit(1), [("user_id", F.col("user_id")), ("seen", F.col("seen"))])
+
+    p.add(UserState, states)
+    p.add(UserLog, logs, single)
+    p.add(Placed, lambda: _relation(table("orders"), "o_custkey", "o_orderkey", [("status", "o_orderstatus"), ("price", "o_totalprice")]), single)
+    p.add(LivesIn, lambda: _relation(table("customer"), "c_custkey", "c_nationkey", []), single)
+    p.add(PartOf, lambda: _relation(table("nation"), "n_nationkey", "n_regionkey", []), single)
+    p.add(LabelOf, lambda: _relation(table("documents"), "doc_id", "doc_id", [("n_chars", "n_chars")]), single)
+    p.add(Said, lambda: _relation(table("conversations"), "conv_id", "conv_id", [("role", "role")], "turn"))
     return p
 
 
