@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 REPO = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of text that one vectorised step works on; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to Python: executors and workers hold a few of them.
+BATCH_BYTES = 8 << 20
 
 #: ASCII white space: tab, line feed, vertical tab, form feed, carriage return, space.
 _SPACE = np.zeros(256, dtype=bool)
@@ -35,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
     # Workers that are not started from the repository find the package through this.
     spark.sparkContext.environment.setdefault("PYTHONPATH", REPO)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -38,9 +38,9 @@ _POINTS[list(b".,!?;:")] = True
 
 
 def _per_text(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(mask) + 1, np.int64)
+    total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 2**31 else np.int64)
     np.cumsum(mask, out=total[1:])
-    return total[off[1:]] - total[off[:-1]]
+    return (total[off[1:]] - total[off[:-1]]).astype(np.int64)
 
 
 def repeated_words(codes: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.ndarray:
