@@ -9,6 +9,9 @@ Before anything travels, each block of texts is sorted in the same way: a window
 same block is settled there, and only first windows travel. So a passage that a third of all documents share
 reaches its bucket once a block. All super-k-mers of a block and bucket are one compressed row.
 
+A minimiser that very many different texts hold around different words would overfill its bucket. A first pass
+counts such minimisers; their windows are dealt by their own hash instead, which equal windows share as well.
+
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, compared as they are. Earlier means a smaller doc_id, or the
 same document and an earlier start. A null text has no words. Rows of the same doc_id share their removals,
 null ids come last. Texts of fewer words than a window are kept whole. An empty table gives no rows.
@@ -28,6 +31,12 @@ WIDTH = 20
 GROUP = 4
 #: Bytes of packed text that a bucket holds on average; a bucket is worked on in one task.
 BUCKET_BYTES = 12 << 20
+#: Super-k-mers of one minimiser from which on its windows are dealt one by one, about half a bucket; and how many
+#: such minimisers the driver holds at most (8 bytes each). With more of them the first number doubles.
+HOT_RUNS = 30_000
+MOST_HOT = 500_000
+#: Bytes of text of a block.
+BLOCK = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -100,34 +109,46 @@ def _unpack(blob: bytes):
     return doc, start, n_words, np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
 
 
-def super_kmers(block: pa.Table, buckets: int, width: int = WIDTH, group: int = GROUP):
+class _Windows:
+    """The windows of a block (doc_id, text): their places, hashes and minimisers."""
+
+    def __init__(self, block: pa.Table, width: int, group: int):
+        self.ids = block["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = w = Words(*as_bytes(block["text"]))
+        n = len(w.codes)
+        self.row = w.documents()
+        self.at = np.flatnonzero(np.arange(n) + width <= w.offsets[1:][self.row]) if n >= width else np.zeros(0, np.int64)
+        if len(self.at):
+            names = hashed(w.dictionary)[w.codes]
+            self.hash = windows(names, width)[self.at]
+            self.low = sliding_min(windows(names, group), width - group + 1)[self.at]
+
+    def first_of_runs(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where consecutive windows of one text and key begin."""
+        return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (self.row[at[1:]] != self.row[at[:-1]])))
+
+
+def super_kmers(block: pa.Table, buckets: int, width: int = WIDTH, group: int = GROUP, hot: np.ndarray | None = None):
     """(settled stretches, rows (bucket, blob)) of a block (doc_id, text)."""
-    ids = block["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-    w = Words(*as_bytes(block["text"]))
-    codes, n = w.codes, len(w.codes)
     none = np.zeros(0, np.int64)
-    row = w.documents()
-    at = np.flatnonzero(np.arange(n) + width <= w.offsets[1:][row]) if n >= width else none
+    found = _Windows(block, width, group)
+    w, at = found.words, found.at
     if not len(at):
         return (none, none, none), []
-    names = hashed(w.dictionary)
-    word_h = names[codes]
-    doc, start = ids[row[at]], at - w.offsets[:-1][row[at]]
-    later = later_windows(windows(word_h, width)[at], codes, at, doc, start, width)
+    doc, start = found.ids[found.row[at]], at - w.offsets[:-1][found.row[at]]
+    later = later_windows(found.hash, w.codes, at, doc, start, width)
     order = np.lexsort([start[later], doc[later]])
     settled = runs(doc[later][order], start[later][order], width)
 
-    low = sliding_min(windows(word_h, group), width - group + 1)
-    at, doc, start = at[~later], doc[~later], start[~later]
-    low = low[at]
-    new = np.append(True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))
-    first = np.flatnonzero(new)
+    key = found.low if hot is None or not len(hot) else np.where(np.isin(found.low, hot), found.hash, found.low)
+    at, doc, start, key = at[~later], doc[~later], start[~later], key[~later]
+    first = found.first_of_runs(key, at)
     n_words = np.diff(np.append(first, len(at))) + width - 1
-    bucket = (mixed(low[first]) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mixed(key[first]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     first, n_words, bucket = first[order], n_words[order], bucket[order]
     spaced = pa.Array.from_buffers(pa.large_binary(), len(w.dictionary), _spaced(w.dictionary))
-    text, edges = as_bytes(spaced.take(pa.array(codes[ragged(at[first], n_words)])))
+    text, edges = as_bytes(spaced.take(pa.array(w.codes[ragged(at[first], n_words)])))
     edge = edges[np.append(0, np.cumsum(n_words))]
     cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     doc, start, n_words = doc[first], start[first], n_words.astype(np.int64)
@@ -135,6 +156,33 @@ def super_kmers(block: pa.Table, buckets: int, width: int = WIDTH, group: int =
     return settled, rows
 
 
+def hot_minimisers(docs: DataFrame, width: int = WIDTH, group: int = GROUP, least: int = HOT_RUNS, most: int = MOST_HOT) -> np.ndarray:
+    """The minimisers of at least `least` different super-k-mers, over all docs.
+
+    A block hands on the minimisers that it holds more than once, each with its number of different
+    super-k-mers; this only decides how windows are dealt, never what is found.
+    """
+
+    def count(it):
+        for block in batches(it, limit=BLOCK):
+            found = _Windows(block, width, group)
+            if not len(found.at):
+                continue
+            first = found.first_of_runs(found.low, found.at)
+            low, head = found.low[first], found.hash[first]
+            order = np.lexsort([head, low])
+            low, head = low[order], head[order]
+            low = low[np.append(True, (low[1:] != low[:-1]) | (head[1:] != head[:-1]))]
+            keys, n = np.unique(low, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["low", "n"])
+
+    counts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.limit(most + 1).collect()
+    if len(found) > most:
+        return hot_minimisers(docs, width, group, 2 * least, most)
+    return np.sort(np.array([r["low"] for r in found], np.int64).view(np.uint64))
+
+
 def _spaced(dictionary: pa.Array) -> list:
     """Buffers of the dictionary's entries with a space after each."""
     data, off = as_bytes(dictionary)
@@ -171,18 +219,20 @@ def hashed_codes(n: int) -> np.ndarray:
 SETTLED = -1
 
 
-def repeated_stretches(docs: DataFrame, width: int = WIDTH, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_stretches(docs: DataFrame, width: int = WIDTH, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, low, high): words low .. high - 1 are in windows that also start earlier; stretches may overlap."""
     # Each word travels about three times; snappy halves a text, nearly.
     buckets = max(16, input_bytes(docs) * 5 // bucket_bytes)
 
+    hot = hot_minimisers(docs, width, group, hot_runs)
+
     def out(found):
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc_id", "low", "high"])
 
     def emit(it):
         schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-        for number, block in enumerate(batches(it, limit=16 << 20)):
-            settled, rows = super_kmers(block, buckets, width, group)
+        for number, block in enumerate(batches(it, limit=BLOCK)):
+            settled, rows = super_kmers(block, buckets, width, group, hot)
             if len(settled[0]):
                 # Stretches settled here go along, to any bucket, so that nothing is computed twice.
                 empty = np.concatenate(settled).tobytes()

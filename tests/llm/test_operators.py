@@ -260,7 +260,7 @@ def removed(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("width,how", [(20, {}), (20, {"bucket_bytes": 100}), (6, {"group": 3}), (2, {"group": 1})])
+@pytest.mark.parametrize("width,how", [(20, {}), (20, {"bucket_bytes": 100}), (20, {"hot_runs": 2, "bucket_bytes": 100}), (6, {"group": 3}), (2, {"group": 1})])
 def test_substring_dedup(spark, corpus, width, how):
     found = substring_dedup.digested(table(spark, corpus), width, **how)
     assert got(found, "doc_id", "n_words", "n_removed", "kept_sha256") == removed(corpus, width)
