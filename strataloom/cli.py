@@ -12,6 +12,7 @@ import hashlib
 import importlib
 import importlib.util
 import json
+import os
 import re
 import sys
 from typing import Any
@@ -89,8 +90,9 @@ def age(text: str) -> dt.datetime:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strataloom")
-    p.add_argument("--store", required=True, help="path or URI of the datastore")
-    p.add_argument("--models", help="module or .py file with entity and relation classes")
+    store = os.environ.get("STRATALOOM_STORE")
+    p.add_argument("--store", required=store is None, default=store, help="path or URI of the datastore; else STRATALOOM_STORE")
+    p.add_argument("--models", default=os.environ.get("STRATALOOM_MODELS"), help="module or .py file with entity and relation classes")
     p.add_argument("--namespace")
     p.add_argument("--json", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
@@ -114,7 +116,7 @@ def parser() -> argparse.ArgumentParser:
     add("import", (("input",), {}), (("--apply",), {"action": "store_true"}), (("--on-conflict",), {"choices": ["abort", "skip", "upsert"], "default": "abort"}), (("--precondition",), {}), (("--meta",), {"action": "append", "default": []}))
     add("schema-export", (("--from-store",), {"action": "store_true"}))
     add("schema-history", (("type",), {}))
-    add("schema-drop", (("type",), {}), (("--purge-history",), {"action": "store_true"}), (("--apply",), {"action": "store_true"}), (("--token",), {}))
+    add("schema-drop", (("type",), {}), (("--purge-history",), {"action": "store_true"}), (("--with-dependents",), {"action": "store_true"}), (("--apply",), {"action": "store_true"}), (("--token",), {}))
     add("migrate", (("--apply",), {"action": "store_true"}), (("--token",), {}), (("--force",), {"action": "store_true"}), (("--upgraders",), {}))
     add("index-verify", (("--type",), {}))
     add("index-repair", (("--apply",), {"action": "store_true"}))
@@ -136,8 +138,9 @@ def _pairs(texts: list[str]) -> dict[str, str]:
     return dict(t.split("=", 1) for t in texts)
 
 
-def drop_token(store: Store, kind: str, name: str, purge: bool) -> str:
-    return hashlib.sha256(f"{kind}/{name}/{purge}@{store.head()}".encode()).hexdigest()[:16]
+def drop_token(store: Store, types: list[tuple[str, str]], purge: bool) -> str:
+    """Names one drop at one head."""
+    return hashlib.sha256(f"{sorted(types)}/{purge}@{store.head()}".encode()).hexdigest()[:16]
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> Any:
@@ -225,17 +228,21 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
             raise NotFound(f"no stored type {args.type!r}")
         if name == "schema-history":
             return [{"version": v["schema_version_id"], "created_at": v["created_at"], "hash": v["hash"]} for v in store.schema_versions(kind, args.type)]
+        doomed = [(kind, args.type)]
         if users := (store.dependents(args.type) if kind == "entity" else []):
-            raise Usage(f"{args.type} is an endpoint of {', '.join(users)}; drop these first")
-        rows, token = store.raw_history(kind, args.type, identity_only=True).count(), drop_token(store, kind, args.type, args.purge_history)
+            if not args.with_dependents:
+                raise Usage(f"{args.type} is an endpoint of {', '.join(users)}; drop these first, or repeat with --with-dependents")
+            doomed = [("relation", u) for u in users] + doomed
+        rows = {n: store.raw_history(k, n, identity_only=True).count() for k, n in doomed}
+        token = drop_token(store, doomed, args.purge_history)
         if not args.apply:
-            return [{"type_name": args.type, "versions": rows, "purge_history": args.purge_history, "token": token}]
-        if rows and not args.purge_history:
-            raise Usage(f"{args.type} has {rows} stored versions; purge them with --purge-history")
+            return [{"type_kind": k, "type_name": n, "versions": rows[n], "purge_history": args.purge_history, "token": token} for k, n in doomed]
+        if any(rows.values()) and not args.purge_history:
+            raise Usage(f"{args.type} has stored versions; purge them with --purge-history")
         if args.token != token:
             raise errors.MigrationTokenError("the token is not that of the preview")
         with store.locked("schema-drop"):
-            return [{"type_name": args.type, "commit_id": store.drop_type(kind, args.type, args.purge_history)}]
+            return [{"type_name": n, "commit_id": store.drop_type(k, n, args.purge_history)} for k, n in doomed]
     if name == "migrate":
         upgraders = schema.load_upgraders(args.upgraders) if args.upgraders else None
         found = session(validate=False).migrate(dry_run=not args.apply, **({"token": args.token, "force": args.force} if args.apply else {}), upgraders=upgraders)

@@ -46,7 +46,7 @@ def changes(history: DataFrame, commit_id: int | None = None, key: Sequence[str]
     """
     if commit_id is not None:
         touched = history.where(F.col("commit_id") == commit_id)
-        earlier = history.where(F.col("commit_id") < commit_id).select(*key).distinct()
+        earlier = history.where(F.col("commit_id") < commit_id).join(touched.select(*key), list(key), "left_semi").select(*key).distinct()
         seen = touched.join(earlier.withColumn("_seen", F.lit(True)), list(key), "left")
         return seen.withColumn("operation", F.when(F.col("_seen"), "update_version").otherwise("insert")).drop("_seen")
     first = F.min("commit_id").over(Window.partitionBy(*key))

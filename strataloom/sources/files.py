@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -14,6 +16,9 @@ class Files:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        # Hadoop's local file system has no atomic create; the operating system does.
+        uri = self._path(self.root).toUri()
+        self._local = uri.getPath() if (uri.getScheme() or "file") == "file" and str(self._fs.getScheme()) == "file" else None
         # The checksum layer of local files adds hidden files of its own.
         self._fs.setWriteChecksum(False)
 
@@ -45,30 +50,50 @@ class Files:
 
     def create_json(self, name: str, value: Any) -> bool:
         """Writes a new file whole; False if there is one already."""
-        side = f"{name}.{self.spark._jvm.java.util.UUID.randomUUID().toString()}.tmp"
+        side = f"{name}.{uuid.uuid4().hex}.tmp"
         self._put(side, json.dumps(value, sort_keys=True).encode(), True)
-        if self.exists(name):
-            self._fs.delete(self._at(side), False)
-            return False
         try:
-            moved = self._fs.rename(self._at(side), self._at(name))
+            if self._local is not None:
+                os.link(f"{self._local}/{side}", f"{self._local}/{name}")
+                return True
+            return not self.exists(name) and bool(self._fs.rename(self._at(side), self._at(name)))
         except Exception:  # some stores raise where the target is there
-            moved = False
-        if not moved:
+            return False
+        finally:
             self._fs.delete(self._at(side), False)
-        return bool(moved)
 
     def write_json(self, name: str, value: Any) -> None:
         self._put(name, json.dumps(value, sort_keys=True).encode(), True)
 
     def claim(self, name: str, value: Any) -> bool:
-        """Creates the file unless it is there: for locks, in one step of the store."""
+        """Creates the file unless it is there, in one step of the store: for locks."""
+        data = json.dumps(value, sort_keys=True).encode()
         try:
-            self._put(name, json.dumps(value, sort_keys=True).encode(), False)
+            if self._local is not None:
+                os.makedirs(os.path.dirname(f"{self._local}/{name}"), exist_ok=True)
+                with open(f"{self._local}/{name}", "xb") as f:
+                    f.write(data)
+            else:
+                self._put(name, data, False)
         except Exception:
             return False
         return True
 
+    def take(self, name: str, value: Any) -> bool:
+        """Removes the file if it still holds `value`: of several that try, one succeeds."""
+        side = f"{name}.{uuid.uuid4().hex}.taken"
+        try:
+            if not self._fs.rename(self._at(name), self._at(side)):
+                return False
+        except Exception:
+            return False
+        mine = self.read_json(side) == value
+        if not mine and not self.exists(name):  # another's, written since
+            self._fs.rename(self._at(side), self._at(name))
+            return False
+        self._fs.delete(self._at(side), False)
+        return mine
+
     def delete(self, name: str) -> bool:
         return self._fs.delete(self._at(name), True)
 

@@ -102,7 +102,7 @@ def load(session: Session, path: str, types: list[type], apply: bool = False, on
     rows: dict[type, DataFrame] = {}
     for cls, expected in read_lines(session, path, types).items():
         key = keys_of(cls.kind)
-        current = session.store.latest_rows(cls).select(*key, "commit_id", "fields")
+        current = session.store.latest_rows(cls, expected).select(*key, "commit_id", "fields")
         plan = delta.import_plan(expected, current, key, on_conflict, precondition).persist()
         counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
         report.inserts += counts.get("insert", 0)

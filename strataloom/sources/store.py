@@ -15,6 +15,8 @@ lags, so only files of the wanted commits are opened.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import tempfile
 import time
 import uuid
@@ -32,6 +34,8 @@ from ..types import FieldType, struct_of
 from .files import Files
 
 ENGINE = "v2"
+#: Identities that are broadcast at most, some 10 MB.
+BROADCAST_KEYS = 100_000
 
 
 def now() -> dt.datetime:
@@ -65,7 +69,7 @@ def parse_uri(uri: str) -> str:
         if scheme == "sqlite":
             raise StorageBackendError("open", "this engine stores Parquet folders; give a path or a store's URI")
         return uri
-    return uri if uri.startswith("file:") else "file://" + (uri if uri.startswith("/") else __import__("os").path.abspath(uri))
+    return uri if uri.startswith("file:") else "file://" + os.path.abspath(uri)
 
 
 class Store:
@@ -112,7 +116,7 @@ class Store:
             lease = {"owner": owner, "until": (now() + dt.timedelta(milliseconds=lease_ms)).isoformat()}
             held = self.files.read_json("lock.json")
             if held is not None and (held["owner"] == owner or dt.datetime.fromisoformat(held["until"]) < now()):
-                self.files.delete("lock.json")  # mine, or ended
+                self.files.take("lock.json", held)  # mine, or ended
                 held = None
             if held is None and self.files.claim("lock.json", lease):
                 return True
@@ -130,7 +134,7 @@ class Store:
     def release_lock(self, owner: str) -> None:
         held = self.files.read_json("lock.json")
         if held is not None and held["owner"] == owner:
-            self.files.delete("lock.json")
+            self.files.take("lock.json", held)
 
     def locked(self, owner: str, timeout_ms: int = 5000, lease_ms: int = 30_000):
         """A context in which the lock is held."""
@@ -184,7 +188,7 @@ class Store:
 
     def commits_df(self) -> DataFrame:
         """id, created_at, metadata (JSON text) of all commits."""
-        rows = [(m["id"], m["created_at"], __import__("json").dumps(m["metadata"], sort_keys=True)) for m in map(self.manifest, self.commit_ids())]
+        rows = [(m["id"], m["created_at"], json.dumps(m["metadata"], sort_keys=True)) for m in map(self.manifest, self.commit_ids())]
         return self.spark.createDataFrame(rows, "id long, created_at string, metadata string")
 
     def list_commits(self, limit: int = 10, since_commit_id: int | None = None) -> list[dict[str, Any]]:
@@ -316,11 +320,19 @@ class Store:
     def history(self, cls: type, lower: int | None = None, upper: int | None = None) -> DataFrame:
         return self.raw_history(cls.kind, cls.type_name, lower, upper, cls.payload())
 
-    def latest_rows(self, cls: type) -> DataFrame:
-        """The newest version of each identity, of any schema version."""
-        if len(self.entries(cls.kind, cls.type_name)) == 0:
-            return self.history(cls)
-        return temporal.latest(self.history(cls), keys_of(cls.kind))
+    def latest_rows(self, cls: type, only: DataFrame | None = None, n_only: int | None = None) -> DataFrame:
+        """The newest version of each identity, of any schema version; with `only` of its identities.
+
+        n_only: how many rows `only` has, if that is known. A few go to the scan by broadcast, so that the rest of
+        the history is not shuffled.
+        """
+        rows, key = self.history(cls), keys_of(cls.kind)
+        if only is not None:
+            keys = only.select(*key)
+            if n_only is not None and n_only <= BROADCAST_KEYS:
+                keys = F.broadcast(keys)
+            rows = rows.join(keys, list(key), "left_semi")
+        return temporal.latest(rows, key)
 
     def point(self, cls: type, *key: str) -> dict[str, Any] | None:
         """The newest version of one identity: the key is pushed to the scan."""

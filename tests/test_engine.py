@@ -304,3 +304,31 @@ def test_single_versions_need_no_choice(shop):
     shop.commit()
     assert not shop.store.layout(Product).single and "Window" in plan(q)
     assert sorted(p.price for p in q.collect()) == [1.0, 49.99]
+
+
+def test_locks_and_manifests_are_exclusive(spark, tmp_path):
+    s = Session(str(tmp_path / "x"), spark=spark, entity_types=[Customer])
+    f = s.store.files
+    assert f.create_json("manifests/000000000001.json", {"a": 1}) and not f.create_json("manifests/000000000001.json", {"a": 2})
+    assert f.read_json("manifests/000000000001.json") == {"a": 1} and f.names("manifests") == ["000000000001.json"]
+    assert f.claim("l.json", {"o": 1}) and not f.claim("l.json", {"o": 2})
+    assert not f.take("l.json", {"o": 2}) and f.read_json("l.json") == {"o": 1}
+    assert f.take("l.json", {"o": 1}) and not f.take("l.json", {"o": 1}) and not f.exists("l.json")
+    assert s.store.acquire_lock("a", lease_ms=1) and s.store.acquire_lock("b", timeout_ms=500)  # a's lease ended
+    assert not s.store.renew_lock("a") and s.store.renew_lock("b")
+    s.store.release_lock("a")
+    assert f.read_json("lock.json")["owner"] == "b"
+
+
+def test_racing_commits(spark, tmp_path):
+    s = Session(str(tmp_path / "r"), spark=spark, entity_types=[Customer])
+    s.ensure(Customer(id="a", name="a", age=1))
+    head = s.store.head
+    s.store.head = lambda: head() or 0
+    s.commit()
+    s.store.head = lambda: 0  # has not seen the first commit
+    s.ensure(Customer(id="b", name="b", age=1))
+    with pytest.raises(sl.ConcurrentWriteError):
+        s.commit()
+    s.store.head = head
+    assert s.query().entities(Customer).count() == 1 and len(s.list_commits()) == 1

@@ -92,4 +92,8 @@ def test_cli(spark, tmp_path, capsys):
     plan = call("schema-drop", "Order")[0]
     call("schema-drop", "Order", "--apply", "--token", "no", code=6)
     assert call("schema-drop", "Order", "--apply", "--token", plan["token"])[0]["commit_id"] == 2
+    plan = call("schema-drop", "Customer", "--with-dependents", "--purge-history")
+    assert [p["type_name"] for p in plan][-1] == "Customer" and len(plan) == 4
+    call("schema-drop", "Customer", "--with-dependents", "--purge-history", "--apply", "--token", plan[0]["token"])
+    assert "Customer" not in [t["type_name"] for t in call("info")["types"]]
     assert main(["--store", uri, "--models", MODELS, "commits"], spark) == 0 and "created_at" in capsys.readouterr().out
