@@ -14,9 +14,11 @@ lags, so only files of the wanted commits are opened.
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
 import json
 import os
+import shutil
 import tempfile
 import time
 import uuid
@@ -58,10 +60,17 @@ def payload_of(schema: dict[str, Any]) -> T.StructType:
     return struct_of({n: FieldType.from_spec(s) for n, s in schema["fields"].items()})
 
 
-def parse_uri(uri: str) -> str:
-    """The folder of a datastore: a path, or a URI of any store that Spark reads; ':memory:' is a new temporary one."""
+def parse_uri(uri: str, shared: str | None = None) -> str:
+    """The folder of a datastore: a path, or a URI of any store that Spark reads.
+
+    ':memory:' is a new temporary one, below the folder that executors share if there is one.
+    """
     if uri == ":memory:":
-        return "file://" + tempfile.mkdtemp(prefix="store-")
+        if shared:
+            return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+        own = tempfile.mkdtemp(prefix="store-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return f"file://{own}"
     if "://" in uri:
         scheme, _, rest = uri.partition("://")
         if scheme == "s3":
@@ -77,7 +86,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, uri: str, create: bool = True):
         self.spark, self.uri = spark, uri
-        self.files = Files(spark, parse_uri(uri))
+        self.files = Files(spark, parse_uri(uri, spark.conf.get("spark.checkpoint.dir", None)))
         self._engine = self.files.read_json("engine.json")
         if self._engine is None:
             if not create:

@@ -332,3 +332,19 @@ def test_racing_commits(spark, tmp_path):
         s.commit()
     s.store.head = head
     assert s.query().entities(Customer).count() == 1 and len(s.list_commits()) == 1
+
+
+def test_uris(spark):
+    from strataloom.sources.store import Store, parse_uri
+
+    assert parse_uri("s3://bucket/x") == "s3a://bucket/x" and parse_uri("/a/b") == "file:///a/b" and parse_uri("hdfs://n/x") == "hdfs://n/x"
+    assert parse_uri(":memory:", "hdfs://n/tmp").startswith("hdfs://n/tmp/store-")
+    with pytest.raises(sl.StorageBackendError):
+        parse_uri("sqlite:///x.db")
+    with pytest.raises(sl.UninitializedStorageError):
+        Store(spark, "/nonexistent/folder", create=False)
+    s = Session(":memory:", spark=spark, entity_types=[Customer])
+    s.ensure(Customer(id="a", name="a", age=1))
+    assert s.commit() == 1
+    with pytest.raises(sl.StorageBackendError):
+        s.store.initialise()
