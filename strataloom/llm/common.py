@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import itertools
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,12 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder, for files that several executors read.
 
-    Where the session names none (tests, one machine), a temporary folder is set.
+    Where the session names none (tests, one machine), a temporary folder is set that goes with the process. Tables in
+    a cluster's folder stay until they are removed there, as results are read lazily.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        if found.isDefined():
+            top = found.get()
+        else:
+            own = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            top = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -34,9 +34,9 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of one step group.
 STEP_TOKENS = 64 * 4096
 #: Bytes of text that are tokenised and packed together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Parts of words whose ids a worker remembers; beyond that it begins anew.
-KNOWN_PARTS = 1_000_000
+KNOWN_PARTS = 500_000
 # Byte classes: 1 letter, 2 digit, 3 other sign, 0 what is left to the library: white space, controls, the
 # apostrophe (contractions) and all characters but ASCII and the letters U+00C0 to U+00FF.
 _CLASS = np.zeros(256, np.uint8)
