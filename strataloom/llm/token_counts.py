@@ -9,6 +9,10 @@ Documents may span any number of blocks and files.
 Two forms are read: real files of one run of identifiers each (`flat_files`), and files that `write_tokens`
 commits through Spark, whose rows are opaque blocks of the run and beside them the ids of the documents in order.
 
+`write_tokens` keeps the separator unambiguous: where encoding emits the end-of-document identifier inside a text (the
+text holds the marker itself), the file has the first identifier past the vocabulary instead. It counts as the one
+token that it is.
+
 Defined results: an empty document has no tokens. Identifiers after the last separator are a document that is
 not terminated. A file whose size is no multiple of the identifier's is an error. No files or no rows: no result.
 """
@@ -28,7 +32,7 @@ from .common import as_bytes, batches, shared_folder
 BLOCK_TOKENS = 1 << 19
 
 
-def write_tokens(docs: DataFrame, path: str, end: int, block_tokens: int = BLOCK_TOKENS) -> str:
+def write_tokens(docs: DataFrame, path: str, end: int, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> str:
     """Token files of all docs (doc_id, text) in the shared folder, a run for each input partition; the folder.
 
     Rows: stream, ids (whether data are document ids), number (of the block, or of the first document), data.
@@ -36,7 +40,9 @@ def write_tokens(docs: DataFrame, path: str, end: int, block_tokens: int = BLOCK
 
     def emit(it):
         vocab = vocabulary(path)
-        kind = "<u2" if vocab.size <= 1 << 16 else "<u4"
+        kind, inner = f"<u{width}", max(vocab.size, end + 1)
+        if inner >= 1 << 8 * width:
+            raise ValueError(f"identifiers up to {inner} do not fit {width} bytes")
         stream, number, document = TaskContext.get().partitionId(), 0, 0
         held = np.zeros(0, kind)
         schema = pa.schema([("stream", pa.int64()), ("ids", pa.bool_()), ("number", pa.int64()), ("data", pa.binary())])
@@ -46,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, end: int, block_tokens: int = BLOCK
 
         for block in batches(it):
             tokens, off = vocab.encode(block["text"].combine_chunks())
-            run = np.insert(tokens.astype(kind), off[1:], end)
+            run = np.insert(np.where(tokens == end, inner, tokens).astype(kind), off[1:], end)
             held = np.concatenate([held, run])
             while len(held) >= block_tokens:
                 yield row(False, number, held[:block_tokens].tobytes())
@@ -153,6 +159,6 @@ def documents_in(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
 
 def counted(docs: DataFrame, path: str, end: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, stream, ordinal, start, n_tokens for every row of docs with an id: written, then scanned."""
-    folder = write_tokens(docs, path, end, block_tokens)
+    folder = write_tokens(docs, path, end, block_tokens, width)
     spark = docs.sparkSession
     return documents_in(written_blocks(spark, folder), end, width).join(written_documents(spark, folder), ["stream", "ordinal"]).select("doc_id", "stream", "ordinal", "start", "n_tokens")

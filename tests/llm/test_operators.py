@@ -184,6 +184,22 @@ def test_token_counts(spark, corpus, block):
     assert token_counts.counted(table(spark, []), BYTE_BPE, 50256).count() == 0
 
 
+def test_markers_in_texts_are_no_separators(spark):
+    """Documents that hold the end-of-document marker, alone, repeated and at the edges, count as the library counts."""
+    mark = "<|endoftext|>"
+    rows = [(i, t) for i, t in enumerate(["one two", f"a {mark} b", mark, "three four five", f"{mark}{mark} x", "", f"y {mark}", "last words here", None])] * 3
+    rows = [(100 * k + i, t) for k, (i, t) in enumerate(rows)]
+    lib = library(BYTE_BPE)
+    for block in (2, 1 << 19):
+        df = token_counts.counted(table(spark, rows), BYTE_BPE, 50256, block_tokens=block).persist()
+        assert got(df, "doc_id", "n_tokens") == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=str)
+        for _, found in itertools.groupby(sorted(df.collect(), key=lambda r: (r.stream, r.ordinal)), key=lambda r: r.stream):
+            at = 0
+            for n, r in enumerate(found):
+                assert (r.ordinal, r.start) == (n, at)
+                at += r.n_tokens + 1
+
+
 def test_flat_files_span_documents(spark, tmp_path):
     lengths = [5, 0, 0, 40, 1, 7, 300, 2]
     run = np.concatenate([np.append(np.arange(n) % 50, 999) for n in lengths] + [np.arange(4)]).astype("<u2")
