@@ -318,6 +318,29 @@ def history_schema_boundary(spark, sf_dir):
     return p.query().entities(UserState).as_of(700).to_df().select("user_id", F.col("_commit_id").alias("commit_id"))
 
 
+def _commit_at(spark: SparkSession, sf_dir: str, percent: int) -> int:
+    """The commit at a share of all commits of the states."""
+    head = graph_of(spark, sf_dir).history(UserState).agg(F.max("commit_id")).first()[0]
+    return (head or 0) * percent // 100
+
+
+@_query("""SELECT user_id, event_type, event_id + 1 AS commit_id FROM events WHERE event_id + 1 <= (SELECT max(event_id) + 1 FROM events) * 50 // 100
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def history_as_of_share(spark, sf_dir):
+    """as_of at half of all commits, so that the input grows with the table."""
+    return _states(spark, sf_dir).as_of(_commit_at(spark, sf_dir, 50)).to_df().select("user_id", "event_type", F.col("_commit_id").alias("commit_id"))
+
+
+@_query("""SELECT user_id, event_id + 1 AS commit_id FROM events WHERE event_id + 1 > (SELECT max(event_id) + 1 FROM events) * 30 // 100
+           AND event_id + 1 <= (SELECT max(event_id) + 1 FROM events) * 70 // 100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def history_schema_boundary_share(spark, sf_dir):
+    """as_of at 70 % of all commits, with a second schema version active after 30 % of them."""
+    p, last = graph_of(spark, sf_dir), _commit_at(spark, sf_dir, 30)
+    split = p.history(UserState).withColumn("schema_version_id", F.when(F.col("commit_id") > last, 2).otherwise(1))
+    p.add(UserState, split, Layout(2, last + 1))
+    return p.query().entities(UserState).as_of(_commit_at(spark, sf_dir, 70)).to_df().select("user_id", F.col("_commit_id").alias("commit_id"))
+
+
 @_query("SELECT user_id FROM events WHERE false")
 def history_before_activation(spark, sf_dir):
     p = graph_of(spark, sf_dir)
@@ -512,6 +535,45 @@ def import_abort_classification(spark, sf_dir):
     return df.select(F.col("key").cast("long").alias("user_id"), "action")
 
 
+#: Shares of all commits, in percent, at which the whole state is compared: the first leaves inserts and updates, the last updates and noops.
+SHARES = (1, 99)
+
+
+def _whole(spark, sf_dir, classify: Callable[[DataFrame, DataFrame, int], DataFrame], column: str) -> DataFrame:
+    """classify(expected, current, commit) for each share: the latest state of all events against the state at the share's commit."""
+    history = graph_of(spark, sf_dir).history(UserState)
+    out = None
+    for percent in SHARES:
+        commit = _commit_at(spark, sf_dir, percent)
+        found = classify(temporal.latest(history).drop("commit_id"), temporal.as_of(history, commit), commit)
+        one = found.select(F.lit(percent).alias("percent"), F.col("key").cast("long").alias("user_id"), column)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_WHOLE_STATES = """WITH b AS (SELECT percent, (SELECT max(event_id) + 1 FROM events) * percent // 100 AS bound FROM (SELECT unnest([1, 99]) AS percent)),
+    c AS (SELECT percent, user_id, event_type, value, props, event_id FROM events JOIN b ON event_id + 1 <= bound QUALIFY row_number() OVER (PARTITION BY percent, user_id ORDER BY event_id DESC) = 1),
+    x AS (SELECT percent, bound, user_id, event_type, value, props FROM b CROSS JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)),
+    j AS (SELECT x.percent, x.bound, x.user_id, CASE WHEN c.user_id IS NULL THEN 'insert'
+        WHEN (x.event_type, x.value, x.props) IS NOT DISTINCT FROM (c.event_type, c.value, c.props) THEN 'noop' ELSE 'update' END AS operation, c.event_id + 1 AS current_commit_id
+        FROM x LEFT JOIN c ON x.percent = c.percent AND x.user_id = c.user_id) """
+
+
+@_query(_WHOLE_STATES + "SELECT percent, user_id, operation FROM j")
+def delta_whole_states(spark, sf_dir):
+    return _whole(spark, sf_dir, lambda expected, current, _: delta.classified(expected, current.drop("commit_id")), "operation")
+
+
+@_query(_WHOLE_STATES + """SELECT percent, user_id, CASE WHEN current_commit_id <> bound AND operation <> 'insert' THEN 'conflict' WHEN operation = 'noop' THEN 'skip' ELSE operation END AS action FROM j""")
+def import_conflict_whole_states(spark, sf_dir):
+    return _whole(spark, sf_dir, lambda expected, current, commit: delta.import_plan(expected, current, on_conflict="upsert", precondition=f"if_commit_id:{commit}"), "action")
+
+
+@_query(_WHOLE_STATES + "SELECT percent, user_id, CASE operation WHEN 'noop' THEN 'skip' WHEN 'update' THEN 'conflict' ELSE operation END AS action FROM j")
+def import_abort_whole_states(spark, sf_dir):
+    return _whole(spark, sf_dir, lambda expected, current, _: delta.import_plan(expected, current), "action")
+
+
 @_query("SELECT 'customer' AS type_name, c_custkey AS id FROM customer UNION ALL SELECT 'nation', n_nationkey::BIGINT FROM nation")
 def export_rows(spark, sf_dir):
     """Interchange lines of two types, read back."""
