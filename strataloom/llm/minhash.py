@@ -22,6 +22,8 @@ get a class of null ids with equal or near texts. Repeated rows are rows of thei
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -139,8 +141,9 @@ def members_of(doc: np.ndarray, key: np.ndarray, count: np.ndarray, n_docs: int)
     return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, node (a 128-bit digest of the text), total (shingles), bands for every row."""
+def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns of also, node (a 128-bit digest of the text), total (shingles), bands for every row."""
+    rest = ["doc_id", *also]
 
     def sign(it):
         import xxhash
@@ -154,10 +157,10 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
             raw = data.tobytes()
             nodes = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield from pa.Table.from_arrays([block["doc_id"].combine_chunks(), pa.array(nodes, pa.binary()), pa.array(total), lists], names=["doc_id", "node", "total", "bands"]).to_batches()
+            yield from pa.Table.from_arrays([*[block[c].combine_chunks() for c in rest], pa.array(nodes, pa.binary()), pa.array(total), lists], names=[*rest, "node", "total", "bands"]).to_batches()
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, f"doc_id {kind}, node binary, total long, bands array<long>")
+    kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in rest)
+    return docs.select(*rest, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, f"{kinds}, node binary, total long, bands array<long>")
 
 
 def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -166,20 +169,31 @@ def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """node, members for the wanted nodes (doc_id, node: one row that holds the node's text)."""
+    """node, members for the wanted nodes (doc_id, node: one row that holds the node's text; a null id if no row with an id does)."""
 
-    def expand(it):
+    def digests(block: pa.Table) -> pa.Array:
         import xxhash
 
+        data, off = as_bytes(block["text"])
+        raw = data.tobytes()
+        return pa.array([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
+
+    def name(it):
         for block in batches(it, limit=4 << 20):
-            data, off = as_bytes(block["text"])
-            raw = data.tobytes()
-            digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            block = block.filter(pc.equal(block["node"], pa.chunked_array([pa.array(digests, pa.binary())])))  # an id may have several texts
+            yield from pa.Table.from_arrays([digests(block), block["text"]], names=["node", "text"]).to_batches()
+
+    def expand(it):
+        for block in batches(it, limit=4 << 20):
+            block = block.filter(pc.equal(block["node"], pa.chunked_array([digests(block)])))  # an id may have several texts
             found = members_of(*shingles(*as_bytes(block["text"]), size), block.num_rows)
             yield from pa.Table.from_arrays([block["node"].combine_chunks(), pa.array(found, pa.binary())], names=["node", "members"]).to_batches(max_chunksize=500)
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(near(wanted), "doc_id").select("node", "text")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(near(wanted), "doc_id").select("node", "text")
+    if not wanted.where("doc_id is null").isEmpty():
+        # Texts that only rows without an id hold are found by their digests.
+        named = docs.where("doc_id is null").select("text").mapInArrow(name, "node binary, text string")
+        rows = rows.unionByName(named.join(near(stored(wanted.where("doc_id is null").select("node"), "nameless")), "node", "left_semi").dropDuplicates(["node"]))
     return rows.mapInArrow(expand, "node binary, members binary")
 
 
@@ -331,10 +345,10 @@ def block_links(members: np.ndarray, off: np.ndarray, query: np.ndarray, root: n
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, kept (doc_id is class_id) for every row."""
-    docs = docs.select("doc_id", "text")
-    signed_rows = stored(signed(docs, bands, rows, size), "signatures")
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), class_size, kept (doc_id is class_id) and the columns of also for every row."""
+    docs = docs.select("doc_id", "text", *also)
+    signed_rows = stored(signed(docs, bands, rows, size, also), "signatures")
     # Equal texts are one node; the partial aggregate leaves a row a task and text.
     nodes = signed_rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("total").alias("total"), F.any_value("bands").alias("bands")).where("total > 0")
     banded = nodes.select("node", "doc_id", "total", F.explode("bands").alias("bucket"))
@@ -342,7 +356,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     buckets = stored(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(hub).alias("hub")).where("n > 1"), "buckets")
     members = stored(banded.join(near(buckets.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.total").alias("hub_total"))), "bucket"), "members")
 
-    sets = stored(shingle_sets(docs, stored(members.where("doc_id is not null").select("doc_id", "node").distinct(), "candidates"), size).dropDuplicates(["node"]), "sets")
+    sets = stored(shingle_sets(docs, stored(members.select("doc_id", "node").distinct(), "candidates"), size).dropDuplicates(["node"]), "sets")
     long_enough = F.least("total", "hub_total") >= least * F.greatest("total", "hub_total") - 1e-9
     edges = members.where((F.col("node") != F.col("hub")) & long_enough).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     with_a = edges.join(sets.select(F.col("node").alias("a"), F.col("members").alias("a_members")), "a")
@@ -352,8 +366,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    placed = signed_rows.select("doc_id", "node").join(near(roots), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    placed = signed_rows.select("doc_id", *also, "node").join(near(roots), "node", "left").select("doc_id", *also, F.coalesce("root", "node").alias("root"))
     classes = stored(placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"), "classes")
     found = placed.join(near(classes), "root", "left")
     class_id = F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return found.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    return found.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), *also)

@@ -494,6 +494,24 @@ def test_near_duplicates(spark, how):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_texts_without_ids_link(spark):
+    """Texts that only rows without an id hold get their near links, and links between others run through them."""
+    rng = random.Random(12)
+
+    def changed(words, tag, places):
+        return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+    a = prose(rng, 120, [f"w{k}" for k in range(300)]).split()
+    between = changed(a, "x", (20, 60))
+    b = changed(between, "y", (40, 90))
+    assert similarity(bag(" ".join(a)), bag(" ".join(b))) < 0.8 <= min(similarity(bag(" ".join(a)), bag(" ".join(between))), similarity(bag(" ".join(between)), bag(" ".join(b))))
+    c = prose(rng, 120, [f"v{k}" for k in range(300)]).split()
+    rows = [(1, " ".join(a)), (None, " ".join(between)), (None, " ".join(between)), (2, " ".join(b)), (None, " ".join(c)), (None, " ".join(changed(c, "z", (50,)))), (3, "alone here"), (None, "alone too")]
+    found = got(minhash.near_duplicates(table(spark, rows)), "doc_id", "class_id", "class_size", "kept")
+    want = [(1, 1, 4, True), (None, 1, 4, False), (None, 1, 4, False), (2, 1, 4, False), (None, None, 2, True), (None, None, 2, True), (3, 3, 1, True), (None, None, 1, True)]
+    assert found == sorted(want, key=str)
+
+
 def test_block_links_keep_components():
     sets = [list(range(20)), list(range(1, 21)), list(range(2, 22)), list(range(50, 70)), list(range(49, 69))]
     members = np.array(sum(sets, []), np.uint64)
