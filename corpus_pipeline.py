@@ -7,7 +7,7 @@ Parquet in the shared folder and read again as the next one's input. All stages
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import stored, table
@@ -19,25 +19,38 @@ from strataloom.llm.queries import vocabulary_file
 from strataloom.llm.secrets import redacted
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose ids are in dropped (doc_id, stored); rows without an id stay."""
-    return docs.join(near(dropped), "doc_id", "left_anti").select(docs.columns)
+def _text_key() -> Column:
+    """The text's digest, as exact_dedup gives it."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", _text_key())
+
+
+def _without(docs: DataFrame, verdicts: DataFrame, purpose: str) -> DataFrame:
+    """docs without the rows that verdicts (doc_id, text_sha256, kept) reject.
+
+    A verdict of these stages hangs on the row's id and text, so it acts on rows with both, and on rows without an id.
+    """
+    dropped = stored(verdicts.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct(), purpose)
+    return docs.join(near(dropped), F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_key() == F.col("_text")), "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned list rejects go."""
-    verdicts = judged(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, stored(verdicts.where("not kept").select("doc_id").distinct(), "rejected"))
+    rules = learn(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, judged(_keyed(docs), rules, also=["text_sha256"]), "rejected")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return _without(docs, stored(exact_dedup(docs).where("not kept").select("doc_id").distinct(), "copies"))
+    """Of equal texts the document with the largest id stays; where none has an id, all stay."""
+    return _without(docs, exact_dedup(docs), "copies")
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return _without(docs, stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies"))
+    """Of each group of near duplicates the document with the smallest id stays; where none has an id, all stay."""
+    return _without(docs, near_duplicates(_keyed(docs), also=["text_sha256"]), "near-copies")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ asked for. An empty table gives no rows; without labelled rows, or with one labe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -254,7 +255,7 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the rule that rejected the text (0: none)."""
-    counted = with_counts(docs.select("doc_id", "text"))
-    return counted.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), verdict(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+def judged(docs: DataFrame, rules: list[Rule], also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns of also, the base counts, base_failed, kept, and the rule that rejected the text (0: none)."""
+    counted = with_counts(docs.select("doc_id", "text", *also))
+    return counted.select("doc_id", *also, *COUNTS[:5], base_failed().alias("base_failed"), verdict(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

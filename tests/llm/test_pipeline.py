@@ -94,6 +94,28 @@ def test_stages(spark, folder):
     assert total == tokens
 
 
+def test_verdicts_act_on_their_own_rows(spark, tmp_path):
+    """Rows without an id are dropped by their verdicts, and of texts that share an id only the rejected ones."""
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(500)]
+    good, copied, other, near = (prose(rng, 90, words) for _ in range(4))
+    altered = near.split()
+    altered[40] = "other"
+    altered = " ".join(altered)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    def want(*rows):
+        return sorted(rows, key=str)
+
+    assert left(corpus_pipeline.quality_rules, [(None, "too short"), (None, good), (1, "too short"), (1, good)]) == want((None, good), (1, good))
+    assert left(corpus_pipeline.exact_duplicates, [(None, copied), (5, copied), (3, copied), (3, other), (None, good)]) == want((5, copied), (3, other), (None, good))
+    assert left(corpus_pipeline.near_duplicate_groups, [(2, near), (None, altered), (7, altered), (7, good), (None, other)]) == want((2, near), (7, good), (None, other))
+
+
 def test_secrets_are_redacted(spark, folder):
     sf_dir, rows = folder
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
