@@ -88,7 +88,7 @@ class Lexicon:
         found = ahocorasick.Automaton()
         for phrase in self.exceptions:
             found.add_word(phrase, (len(phrase), False, None))
-        for entry, weight in sorted(self.weights.items(), reverse=True):  # a stem comes after its own word
+        for entry, weight in sorted(self.weights.items()):  # a stem comes after its own word
             word = entry.removesuffix("*")
             if word == entry or word not in self.weights:
                 found.add_word(word, (len(word), word != entry, weight))

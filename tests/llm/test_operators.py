@@ -305,6 +305,13 @@ def test_folding_and_matching():
     assert total("lowell flowell lowe") == 6.0 and total("") == 0 and toxicity.matches("x", toxicity.Lexicon().automaton()) == []
 
 
+def test_a_stem_keeps_beside_its_word():
+    for weights in ({"abc": 3.0, "abc*": 2.0}, {"abc*": 2.0, "abc": 3.0}):
+        a = toxicity.Lexicon(weights).automaton()
+        assert [len(toxicity.matches(t, a)) for t in ("abc", "abcd", "an abcing b", "xabc")] == [1, 1, 1, 0]
+        assert toxicity.matches("abc", a)[0][2] == 3.0
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(3)
     rows, labels = [], []
