@@ -217,7 +217,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         return [{"type_name": k, "path": v} for k, v in done.items()]
     if name == "import":
         r = jsonl.load(session(), args.input, list(models.values()), args.apply, args.on_conflict, args.precondition, _pairs(args.meta))
-        return [{"inserts": r.inserts, "updates": r.updates, "skips": r.skips, "conflicts": len(r.conflicts), "commit_id": r.commit_id}]
+        return [{"inserts": r.inserts, "updates": r.updates, "skips": r.skips, "conflicts": r.conflict_count, "commit_id": r.commit_id}]
     if name == "schema-export":
         if args.from_store:
             return store.list_schemas()

@@ -21,9 +21,10 @@ from .store import keys_of
 
 
 class ImportConflictError(StoreError):
-    def __init__(self, conflicts: list[dict[str, Any]]):
+    def __init__(self, conflicts: list[dict[str, Any]], count: int | None = None):
         self.conflicts = conflicts
-        super().__init__(f"{len(conflicts)} rows in conflict with stored ones; nothing was imported")
+        self.count = len(conflicts) if count is None else count
+        super().__init__(f"{self.count} rows in conflict with stored ones; nothing was imported")
 
 
 @dataclass
@@ -31,7 +32,8 @@ class ImportReport:
     inserts: int = 0
     updates: int = 0
     skips: int = 0
-    conflicts: list[dict[str, Any]] = field(default_factory=list)
+    conflicts: list[dict[str, Any]] = field(default_factory=list)  # examples, at most 100 a type
+    conflict_count: int = 0
     commit_id: int | None = None
 
 
@@ -95,7 +97,7 @@ def read_lines(session: Session, path: str, types: list[type]) -> dict[type, Dat
 def load(session: Session, path: str, types: list[type], apply: bool = False, on_conflict: str = "abort", precondition: str | None = None, meta: dict[str, str] | None = None) -> ImportReport:
     """Classifies lines against current state; with apply commits inserts and updates as one commit.
 
-    Any conflict stops all. Lines stay on the executors; only conflicts (at most 100) and counts come back.
+    Any conflict stops all. Lines stay on the executors; only counts and examples of conflicts (at most 100 a type) come back.
     """
     session._validated()
     report = ImportReport()
@@ -108,13 +110,14 @@ def load(session: Session, path: str, types: list[type], apply: bool = False, on
         report.inserts += counts.get("insert", 0)
         report.updates += counts.get("update", 0)
         report.skips += counts.get("skip", 0)
+        report.conflict_count += counts.get("conflict", 0)
         if counts.get("conflict"):
             report.conflicts += [{"type_name": cls.type_name} | {k: r[k] for k in key} for r in plan.where("action = 'conflict'").select(*key).limit(100).collect()]
         rows[cls] = plan.where(F.col("action").isin("insert", "update")).select(*key, "seq", "fields")
     if not apply:
         return report
     if report.conflicts:
-        raise ImportConflictError(report.conflicts)
+        raise ImportConflictError(report.conflicts, report.conflict_count)
     with session.store.locked(session.id, session.config.lock_timeout_ms, session.config.lease_ttl_ms):
         report.commit_id = session._publish(rows, {"operation": "import"} | (meta or {}))
     return report

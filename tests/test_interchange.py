@@ -97,3 +97,12 @@ def test_cli(spark, tmp_path, capsys):
     call("schema-drop", "Customer", "--with-dependents", "--purge-history", "--apply", "--token", plan[0]["token"])
     assert "Customer" not in [t["type_name"] for t in call("info")["types"]]
     assert main(["--store", uri, "--models", MODELS, "commits"], spark) == 0 and "created_at" in capsys.readouterr().out
+
+
+def test_conflicts_are_counted_whole(session, tmp_path):
+    path = tmp_path / "in.jsonl"
+    path.write_text("".join(json.dumps({"type_kind": "entity", "type_name": "Customer", "key": f"n{i}", "fields": {"id": f"n{i}", "name": "N", "age": i}}) + "\n" for i in range(150)))
+    report = jsonl.load(session, str(path), [Customer], precondition="must_exist")
+    assert (report.conflict_count, len(report.conflicts)) == (150, 100)
+    with pytest.raises(jsonl.ImportConflictError, match="150 rows"):
+        jsonl.load(session, str(path), [Customer], precondition="must_exist", apply=True)
