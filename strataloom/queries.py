@@ -609,6 +609,13 @@ def _bus(spark, sf_dir):
     return events, claimed.unionByName(acked).unionByName(released).unionByName(dead)
 
 
+def _sessions(spark, sf_dir):
+    """A session of each user of the table; those of one user in four are past their time to live, some end right on it."""
+    u = _table(spark, sf_dir, "events").select("user_id").distinct()
+    beat = F.when(F.col("user_id") % 4 == 0, "2024-01-13").when(F.col("user_id") % 4 == 1, "2024-01-14").otherwise("2024-01-15")
+    return u.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.concat(F.lit("ns"), (F.col("user_id") % 3).cast("string")).alias("namespace"), beat.alias("heartbeat_at"))
+
+
 _STATUS = """CASE WHEN event_id % 2 = 1 THEN 'pending' WHEN event_id % 7 = 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0 THEN 'dead_letter'
     WHEN event_id % 3 = 0 THEN 'acked' WHEN event_id % 5 = 0 THEN 'retry' WHEN event_id % 4 = 0 THEN 'claimed' ELSE 'pending' END"""
 
@@ -622,8 +629,14 @@ def event_status_rollup(spark, sf_dir):
 @_query(f"""SELECT 'ns' || (user_id % 3) AS namespace, count(*) AS events, count(*) FILTER ({_STATUS} = 'acked') AS acked, count(*) FILTER ({_STATUS} = 'dead_letter') AS dead_letter FROM events GROUP BY 1""")
 def event_namespace_rollup(spark, sf_dir):
     events, log = _bus(spark, sf_dir)
-    none = spark.createDataFrame([], "session_id string, namespace string, heartbeat_at string")
-    return event_rules.namespaces(events, log, none, "2024-01-15", "2024-01-14").select("namespace", "events", "acked", "dead_letter")
+    return event_rules.namespaces(events, log, _sessions(spark, sf_dir), "2024-01-15", "2024-01-14").select("namespace", "events", "acked", "dead_letter")
+
+
+@_query("""SELECT 'ns' || (user_id % 3) AS namespace, count(*) AS events, count(DISTINCT user_id) FILTER (user_id % 4 <> 0) AS live_sessions FROM events GROUP BY 1""")
+def event_namespace_live_sessions(spark, sf_dir):
+    """Namespaces with the sessions whose last heartbeat is within the time to live."""
+    events, log = _bus(spark, sf_dir)
+    return event_rules.namespaces(events, log, _sessions(spark, sf_dir), "2024-01-15", "2024-01-14").select("namespace", "events", "live_sessions")
 
 
 @_query("""SELECT printf('%012d', event_id) AS id FROM events WHERE event_type IN ('click', 'view')

@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     rows = [(i, u, ("click", "view")[i % 2], float(i % 3), json.dumps({"k": i % 5})) for i, u in rows]
     # The last event of user 3 repeats the state before it, so that a newer version is a noop.
     rows += [(3000 + i, 3, "view", 1.0, "{}") for i in range(40)]
-    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").repartition(3).write.parquet(f"{out}/events.parquet")
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").selectExpr("*", "timestamp_ntz'2024-01-01' AS ts").repartition(3).write.parquet(f"{out}/events.parquet")
     return out, rows
 
 
@@ -53,3 +53,12 @@ def test_every_user_is_classified(spark, folder):
     assert got == want and len(got) == 2 * len(latest)
     assert set(collections.Counter(got.values())) == {"insert", "update", "noop"}
     assert got[1, 120] == "insert"  # appears after commit 900
+
+
+def test_live_sessions_are_counted(spark, folder):
+    path, rows = folder
+    got = {r.namespace: r.live_sessions for r in queries.event_namespace_live_sessions(spark, path).collect()}
+    users = {u for _, u, *_ in rows}
+    assert got == {f"ns{k}": len([u for u in users if u % 3 == k and u % 4]) for k in range(3)}
+    for name in ("event_namespace_live_sessions", "event_namespace_rollup"):
+        assert sorted(tuple(r) for r in queries.QUERIES[name](spark, path).collect()) == sql(path, name)
