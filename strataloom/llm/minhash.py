@@ -30,14 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, batches, hashed, mixed, ragged, stored, trim, windows
+from .common import Words, as_bytes, batches, hashed, mixed, near, ragged, stored, trim, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-#: Rows of a table that is broadcast at most (two 16-byte keys each, so about 30 MB); more are joined by shuffle.
-BROADCAST_ROWS = 200_000
 #: Members, and shingles, of one block of an exact comparison.
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 1 << 21
@@ -163,11 +161,6 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
     return docs.select(*rest, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, f"{kinds}, node binary, total long, bands array<long>")
 
 
-def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows; df is a stored table."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
     """node, members for the wanted nodes (doc_id, node: one row that holds the node's text; a null id if no row with an id does)."""
 

@@ -256,26 +256,33 @@ def test_packing(spark, corpus, tiers):
 
 
 def removed(rows, width):
-    """Brute force over all windows."""
-    ids = [(substring_dedup.NO_ID if i is None else i) for i, _ in rows]
+    """Brute force over all windows; every row is a document, rows of one id are in the operator's order."""
     words = [WORD.findall(t or "") for _, t in rows]
+    ties = [substring_tie(t or "") for _, t in rows]
+    names = [(i is None, i or 0, tie, n) for n, ((i, _), tie) in enumerate(zip(rows, ties, strict=True))]
     first: dict[tuple, tuple] = {}
-    for i, w in zip(ids, words, strict=True):
+    for name, w in zip(names, words, strict=True):
         for s in range(len(w) - width + 1):
             key = tuple(w[s : s + width])
-            first[key] = min(first.get(key, (i, s)), (i, s))
-    gone = collections.defaultdict(set)
-    for i, w in zip(ids, words, strict=True):
-        for s in range(len(w) - width + 1):
-            if first[tuple(w[s : s + width])] != (i, s):
-                gone[i] |= set(range(s, s + width))
+            first[key] = min(first.get(key, (name, s)), (name, s))
     out = []
-    for (i, _), key, w in zip(rows, ids, words, strict=True):
-        kept = [x for n, x in enumerate(w) if n not in gone[key]]
+    for (i, _), name, w in zip(rows, names, words, strict=True):
+        gone = set()
+        for s in range(len(w) - width + 1):
+            if first[tuple(w[s : s + width])] != (name, s):
+                gone |= set(range(s, s + width))
+        kept = [x for n, x in enumerate(w) if n not in gone]
         out.append((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
+def substring_tie(text):
+    """Spark's xxhash64, as documents of one id are ordered by it."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode(), seed=42) & (1 << 61) - 1
+
+
 @pytest.mark.parametrize("width,how", [(20, {}), (20, {"bucket_bytes": 100}), (20, {"hot_runs": 2, "bucket_bytes": 100}), (6, {"group": 3}), (2, {"group": 1})])
 def test_substring_dedup(spark, corpus, width, how):
     found = substring_dedup.digested(table(spark, corpus), width, **how)
@@ -283,10 +290,22 @@ def test_substring_dedup(spark, corpus, width, how):
     assert substring_dedup.digested(table(spark, []), width, **how).count() == 0
 
 
+def test_removals_hit_the_row_that_repeats(spark):
+    """Other rows of an id, or of no id, lose nothing because of a row that repeats an earlier one."""
+    w, u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "wuv")
+    for rows in (
+        [(1, w), (2, w), (2, u)],
+        [(1, w), (None, w), (None, u)],
+        [(1, w), (1, u), (1, u + " " + v), (2, v), (None, v + " z"), (None, u)],
+        [(None, w)] * 9 + [(None, "short text")] * 5 + [(3, u)] * 4 + [(3, "x"), (2**63 - 1, w), (2**63 - 1, w), (None, "")],
+    ):
+        assert got(substring_dedup.digested(table(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows, 20)
+
+
 def test_windows_of_one_hash_are_told_apart():
     codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32)
     at = np.array([0, 3, 6])
-    later = substring_dedup.later_windows(np.zeros(3, np.uint64), codes, at, np.array([5, 6, 7]), np.zeros(3, np.int64), 3)
+    later = substring_dedup.later_windows(np.zeros(3, np.uint64), codes, at, np.array([5, 6, 7]), np.zeros(3, np.int64), np.zeros(3, np.int64), 3)
     assert later.tolist() == [False, False, True]
 
 
