@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import stored, table
+from strataloom.llm.common import near, stored, table
 from strataloom.llm.exact_dedup import exact_dedup
-from strataloom.llm.minhash import near, near_duplicates
+from strataloom.llm.minhash import near_duplicates
 from strataloom.llm.packing import packed
 from strataloom.llm.quality import judged, learn
 from strataloom.llm.queries import vocabulary_file
