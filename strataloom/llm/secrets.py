@@ -1,24 +1,34 @@
-"""Secret scans by one combined deterministic automaton.
-
-Every rule's regex goes into one nondeterministic automaton; subset construction and minimisation make a
-table of transitions. All rules are then scanned in a single pass over the bytes of a block: the block is cut
-into lanes of equal length that advance together, a byte at a step, as array operations. A lane starts in the
-start state; where the lane before it ends in another state, the lane runs again from there until it meets
-the states it had, so the result is that of one sequential pass.
-
-The automaton tells where a rule begins to match; the spans come from the rule's full pattern on the stretch
-of the rule's own characters around that place, which no match can leave. Rules and their texts are bytes;
-spans are code points, end exclusive.
-
-Defined results: a null text is empty; matches of a kind are leftmost and do not overlap, matches that fail
-the kind's length are dropped after matching. Repeated rows are scanned alike; an empty table gives no rows.
+"""Secret scans by combined deterministic automata.
+
+The rules' regexes are compiled by subset construction and minimisation into two tables of transitions, each for all
+rules at once:
+
+* One finds where matches can start. It holds the rules' heads (a beginning of every match that counts, short enough
+  that their union stays small), turned round, and reads a block once, from its last byte to its first. The block is
+  cut into lanes of equal length that advance together, a byte at a step, as array operations. A lane starts in the
+  start state; where the lane before it ends in another state, the lane runs again from there until it meets the
+  states it had, so the result is that of one sequential pass. Stretches that met an accepting state are read again
+  for the masks of the rules that start at each byte.
+* One holds the whole patterns, anchored. It runs forwards from a start and tells where the longest match of a rule
+  ends and where the part begins whose length counts. A stretch that an earlier try of the text looped through in the
+  same state is not read again, so many starts before one long run stay linear.
+
+The union of the whole patterns, unanchored, has no small table: a count such as {35} over characters that can
+start the rule anew has a state for each set of places. Rules and their texts are bytes; spans are code points, end
+exclusive.
+
+Defined results: a null text is empty. Matches of a kind are leftmost, the longest there, and do not overlap; those
+whose counted part is too short are dropped after matching. A text of any length is read whole, and no match leaves
+it. Repeated rows are scanned alike, columns other than doc_id and text are ignored (redacted() keeps them), whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, batches
 
+#: Bytes from which on the stretch that a try looped through is remembered.
+LONG_LOOP = 64
+
 
 def either(word: str) -> str:
     """The word's letters in either case."""
@@ -36,45 +49,33 @@ def either(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """seed: what the automaton looks for, a start of every match that counts. pattern: the whole rule."""
+    """A match is `before` and then `body`, which has at least `least` bytes; `head` begins every match that counts."""
 
     kind: str
-    seed: str
-    pattern: str
+    head: str
+    before: str
+    body: str
     least: int = 0
-    group: int = 0
-    inside: str = ""  # the characters that a match can hold, as a class
-
-    def spans(self, data: bytes) -> list[tuple[int, int]]:
-        return [m.span() for m in _compiled(self.pattern).finditer(data) if m.end(self.group) - m.start(self.group) >= self.least]
-
-
-_CACHE: dict[str, re.Pattern] = {}
-
-
-def _compiled(pattern: str) -> re.Pattern:
-    if pattern not in _CACHE:
-        _CACHE[pattern] = re.compile(pattern.encode())
-    return _CACHE[pattern]
 
 
 _KEY = "(" + "|".join([*(either(w) for w in ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")]) + ")"
 _VALUE = "[A-Za-z0-9+/_.=-]"
 _ASSIGN = _KEY + "[\"']?\\x20*[:=]\\x20*[\"']?"
+_PEM = "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"
 
 #: Kinds in the order in which spans that start together are listed.
 BASE = (
-    Rule("assign", _ASSIGN + _VALUE, _ASSIGN + f"({_VALUE}+)", 12, 2, "A-Za-z0-9+/_.=\\-\"'\\x20:"),
-    Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 18, 0, "A-Z0-9"),
-    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", 16, 0, "0-9a-f"),
+    Rule("assign", _ASSIGN + _VALUE, _ASSIGN, _VALUE + "+", 12),
+    Rule("access", "AKIA[A-Z0-9]", "", "AKIA[A-Z0-9]+", 18),
+    Rule("hex", "[0-9a-f]{16}", "", "[0-9a-f]+", 16),
 )
 MORE = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]{20,}", 0, 0, "A-Za-z0-9_"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9]", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, "A-Za-z0-9\\-"),
-    Rule("google", "AIza[A-Za-z0-9_-]", "AIza[A-Za-z0-9_-]{35}", 0, 0, "A-Za-z0-9_\\-"),
-    Rule("stripe", "[sr]k_live_[A-Za-z0-9]", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 0, "A-Za-z0-9_"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+", 0, 0, "A-Za-z0-9_.\\-"),
-    Rule("pem", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----", 0, 0, "A-Z\\x20\\-"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]", "", "gh[pousr]_[A-Za-z0-9]{20,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]", "", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", "[sr]k_live_[A-Za-z0-9]", "", "[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]", "", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+"),
+    Rule("pem", _PEM, "", _PEM),
 )
 RULES = BASE + MORE
 
@@ -214,121 +215,126 @@ class _Nfa:
 
 @dataclass
 class Automaton:
-    """table[state * width + byte class]: the next state times width; states from `first` on accept."""
+    """table[state, byte class]: the next state; states from `first` on accept, and masks[state] tells what."""
 
     table: np.ndarray
     classes: np.ndarray
-    width: int
     first: int
     masks: np.ndarray
     start: int
-    kinds: list[str] = field(default_factory=list)
 
-    def hits(self, data: np.ndarray, lane: int = 1024, every: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the byte after which a rule begins to match, bit mask of the rules)."""
-        n = len(data)
+    def starts(self, data: np.ndarray, lane: int = 1024, every: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """(place, mask) of the bytes at which the automaton, reading from the end, accepts; places ascend."""
+        n, width = len(data), self.table.shape[1]
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        table = (self.table * width).astype(np.int32).ravel()
         lanes = -(-n // lane)
         padded = np.zeros(lanes * lane, np.uint8)
-        padded[:n] = self.classes[data]
+        padded[:n] = self.classes[data[::-1]]
         steps = np.ascontiguousarray(padded.reshape(lanes, lane).T)
-        limit = self.first * self.width
-        state = np.full(lanes, self.start * self.width, np.int32)
+        limit, origin = self.first * width, np.int32(self.start * width)
+        state, top = np.full(lanes, origin, np.int32), np.zeros(lanes, np.int32)
         marks = np.empty((lane // every, lanes), np.int32)
-        places, masks = [], []
-
-        def note(new: np.ndarray, old: np.ndarray, ids: np.ndarray | None, step: int) -> None:
-            at = np.flatnonzero(new >= limit)
-            if len(at):
-                fresh = self.masks[new[at] // self.width] & ~self.masks[old[at] // self.width]
-                at, fresh = at[fresh != 0], fresh[fresh != 0]
-                if len(at):
-                    places.append((at if ids is None else ids[at]).astype(np.int64) * lane + step)
-                    masks.append(fresh)
-
-        table = self.table
+        busy = np.zeros((lane // every, lanes), bool)
         for i in range(lane):
-            old, state = state, table.take(state + steps[i])
-            if state.max(initial=0) >= limit:
-                note(state, old, None, i)
+            state = table.take(state + steps[i])
+            np.maximum(top, state, out=top)
             if (i + 1) % every == 0:
-                marks[i // every] = state
-        # Lanes whose predecessor did not end in the start state.
-        begun = np.full(lanes, self.start * self.width, np.int32)
+                marks[i // every], busy[i // every] = state, top >= limit
+                top[:] = 0
+        # Lanes whose predecessor did not end in the state that they began in.
+        begun = np.full(lanes, origin, np.int32)
         while True:
-            due = np.append(np.int32(self.start * self.width), marks[-1][:-1])
+            due = np.append(origin, marks[-1][:-1])
             ids = np.flatnonzero(due != begun)
             if not len(ids):
                 break
             begun[ids] = due[ids]
-            state = due[ids]
+            state, top = due[ids], np.zeros(len(ids), np.int32)
             for i in range(lane):
-                old, state = state, table.take(state + steps[i, ids])
-                note(state, old, ids, i)
+                state = table.take(state + steps[i, ids])
+                top = np.maximum(top, state)
                 if (i + 1) % every == 0:
+                    busy[i // every, ids] |= top >= limit
                     other = marks[i // every, ids] != state
                     marks[i // every, ids] = state
-                    ids, state = ids[other], state[other]
+                    ids, state, top = ids[other], state[other], top[other] * 0
                     if not len(ids):
                         break
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(places), np.concatenate(masks)
-
-
-def compiled(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    """The minimal automaton that finds every rule's seed anywhere in a text."""
+        part, of = np.nonzero(busy)
+        state = np.where(part > 0, marks[part - 1, of], begun[of])
+        found = np.empty((every, len(of)), np.int64)
+        for i in range(every):
+            state = table.take(state + steps[part * every + i, of])
+            found[i] = self.masks[state // width]
+        step, which = np.nonzero(found)
+        place = n - 1 - (of[which].astype(np.int64) * lane + part[which] * every + step)
+        masks = found[step, which]
+        order = np.argsort(place)
+        place, masks = place[order], masks[order]
+        return place[place >= 0], masks[place >= 0]
+
+
+def automaton(patterns: list[tuple[str, int]], backward: bool = False) -> Automaton:
+    """The minimal automaton of the patterns (pattern, mask): anchored, or reading backwards from anywhere."""
     nfa = _Nfa()
-    root = nfa.state()
+    ends = [(*nfa.add(p), mask) for p, mask in patterns]
+    n = len(nfa.empty)
+    edges: list[list[tuple[frozenset[int], int]]] = [[] for _ in range(n)]
+    empty: list[list[int]] = [[] for _ in range(n)]
+    for x in range(n):
+        if nfa.edge[x]:
+            members, y = nfa.edge[x]
+            edges[y if backward else x].append((members, x if backward else y))
+        for y in nfa.empty[x]:
+            empty[y if backward else x].append(x if backward else y)
     accept: dict[int, int] = {}
-    for k, rule in enumerate(rules):
-        a, b = nfa.add(rule.seed)
-        nfa.empty[root].append(a)
-        accept[b] = accept.get(b, 0) | 1 << k
-
-    sets = {e[0] for e in nfa.edge if e}
-    signature: dict[tuple[bool, ...], int] = {(False,) * len(sets): 0}  # class 0: bytes of no rule
-    order = list(sets)
+    for a, b, mask in ends:
+        accept[a if backward else b] = mask
+    roots = {b if backward else a for a, b, _ in ends}
+
+    order = list({members for e in edges for members, _ in e})
+    signature: dict[tuple[bool, ...], int] = {(False,) * len(order): 0}  # class 0: bytes of no rule
     classes = np.zeros(256, np.uint8)
-    samples = [None]
+    samples = [-1]
     for byte in range(256):
-        key = tuple(byte in s for s in order)
+        key = tuple(byte in members for members in order)
         if key not in signature:
             signature[key] = len(signature)
             samples.append(byte)
         classes[byte] = signature[key]
     width = len(signature)
-    if len(np.unique(classes)) == width - 1 and 0 not in classes:
-        samples[0] = None
 
     def closed(states: set[int]) -> frozenset[int]:
         out, todo = set(states), list(states)
         while todo:
-            for x in nfa.empty[todo.pop()]:
+            for x in empty[todo.pop()]:
                 if x not in out:
                     out.add(x)
                     todo.append(x)
-        return frozenset(x for x in out if nfa.edge[x] or x in accept)
+        return frozenset(x for x in out if edges[x] or x in accept)
 
-    start = closed({root})
-    numbers, rows, todo = {start: 0}, [], [start]
+    start = closed(roots)
+    always = start if backward else frozenset()
     moves: dict[tuple[int, int], frozenset[int]] = {}
     for c, byte in enumerate(samples):
-        for s, e in enumerate(nfa.edge):
-            if e and byte is not None and byte in e[0]:
-                moves[s, c] = closed({e[1]})
+        for x in range(n):
+            there = {y for members, y in edges[x] if byte in members}
+            if there:
+                moves[x, c] = closed(there)
+    numbers, rows, todo = {start: 0}, [], [start]
     while len(rows) < len(todo):
         here, row = todo[len(rows)], []
         for c in range(width):
-            there = start.union(*(moves[s, c] for s in here if (s, c) in moves))
+            there = always.union(*(moves[x, c] for x in here if (x, c) in moves))
             if there not in numbers:
                 numbers[there] = len(numbers)
                 todo.append(there)
             row.append(numbers[there])
         rows.append(row)
     table = np.array(rows, np.int64)
-    masks = np.array([sum(accept[s] for s in x if s in accept) for x in todo], np.int64)
+    masks = np.array([sum({accept[x] for x in states if x in accept}) for states in todo], np.int64)
 
     # Minimisation: states part until all of a class go to equal classes on each byte.
     _, label = np.unique(masks, return_inverse=True)
@@ -343,34 +349,83 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Automaton:
     rank = np.argsort(masks[one] != 0, kind="stable")  # accepting states last
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank))
-    small = place[label[table[one[rank]]]]
     masks = masks[one[rank]]
-    return Automaton((small * width).astype(np.int32).ravel(), classes, width, int((masks == 0).sum()), masks, int(place[label[0]]), [r.kind for r in rules])
+    return Automaton(place[label[table[one[rank]]]], classes, int((masks == 0).sum()), masks, int(place[label[0]]))
+
+
+class Scanner:
+    """The rules' two automata."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.rules = rules
+        self.heads = automaton([(r.head, 1 << k) for k, r in enumerate(rules)], backward=True)
+        n = len(rules)
+        self.whole = automaton([(r.before + r.body, 1 << k) for k, r in enumerate(rules)] + [(r.before, 1 << n + k) for k, r in enumerate(rules) if r.before])
+        self.rows, self.masks = self.whole.table.tolist(), self.whole.masks.tolist()
+        stays = (self.whole.table == np.arange(len(self.rows))[:, None]).all(axis=1)
+        self.dead = next((int(s) for s in np.flatnonzero(stays & (self.whole.masks == 0))), -1)
+        self.letters = self.whole.classes.tobytes()
+
+    def match(self, text: bytes, at: int, stop: int, k: int, seen: dict[int, tuple[int, int, int, int]]) -> tuple[int, int]:
+        """(start of the counted part, end) of the longest match of rule k from `at`, an end of -1 if there is none.
+
+        text: byte classes. seen: stretches that earlier tries of this rule looped through before the same stop.
+        """
+        rows, masks, full, middle = self.rows, self.masks, 1 << k, 1 << len(self.rules) + k
+        state, since, begun, last, loops = self.whole.start, at, at, -1, []
+        i = at
+        while i < stop:
+            after = rows[state][text[i]]
+            i += 1
+            if after != state:
+                if i - 1 - since >= LONG_LOOP:
+                    loops.append((state, since, i - 1))
+                if after == self.dead:
+                    break
+                known = seen.get(after)
+                if known and known[0] <= i <= known[1]:
+                    last = known[2] if known[2] >= i else i if masks[after] & full else last
+                    begun = known[3] if known[3] >= i else i if masks[after] & middle else begun
+                    break
+                state, since = after, i
+            found = masks[state]
+            if found:
+                if found & full:
+                    last = i
+                if found & middle:
+                    begun = i
+        else:
+            if i - since >= LONG_LOOP:
+                loops.append((state, since, i))
+        for state, x, y in loops:
+            seen[state] = (x, y, last, begun)
+        return begun, last
 
 
-def scan_block(texts: pa.Array, automaton: Automaton, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
-    """For each text its spans (start, rule's number, end) in bytes, in order; None where there is none."""
-    joined = pc.binary_join_element_wise(texts, "", "\n")  # a line feed is in no rule
-    data, off = as_bytes(joined)
+def scan_block(texts: pa.Array, scanner: Scanner) -> list[list[tuple[int, int, int]]]:
+    """For each text its spans (start, rule's number, end) in code points, in order; None where there is none."""
+    data, off = as_bytes(texts)
     found: list = [None] * len(texts)
-    places, masks = automaton.hits(data)
-    raw = data.tobytes() if len(places) else b""
-    for k, rule in enumerate(rules):
-        at = places[(masks >> k & 1).astype(bool)]
-        if not len(at):
-            continue
-        member = np.zeros(256, bool)
-        member[[b for b in range(256) if re.match(f"[{rule.inside}]".encode(), bytes([b]))]] = True
-        breaks = np.flatnonzero(~member[data])
-        right = np.unique(np.searchsorted(breaks, at))
-        for r in right.tolist():
-            low = int(breaks[r - 1]) + 1 if r else 0
-            high = int(breaks[r])
-            doc = int(np.searchsorted(off, low, side="right")) - 1
-            for a, b in rule.spans(raw[low:high]):
-                if found[doc] is None:
-                    found[doc] = []
-                found[doc].append((low + a - int(off[doc]), k, low + b - int(off[doc])))
+    places, masks = scanner.heads.starts(data)
+    coded = data.tobytes().translate(scanner.letters) if len(places) else b""
+    ends = off.tolist()
+    for k, rule in enumerate(scanner.rules):
+        starts = places[(masks >> k & 1).astype(bool)]
+        docs = (np.searchsorted(off, starts, side="right") - 1).tolist()
+        starts = starts.tolist()
+        i, doc = 0, -1
+        while i < len(starts):
+            if docs[i] != doc:
+                doc, seen = docs[i], {}
+            at = starts[i]
+            begun, end = scanner.match(coded, at, ends[doc + 1], k, seen)
+            i += 1
+            if end > at:
+                if end - begun >= rule.least:
+                    if found[doc] is None:
+                        found[doc] = []
+                    found[doc].append((at - ends[doc], k, end - ends[doc]))
+                i = bisect_left(starts, end, i)
     for doc, spans in enumerate(found):
         if spans:
             text = data[off[doc] : off[doc + 1]]
@@ -386,14 +441,14 @@ def listed(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BASE)) -> DataFrame:
     """doc_id, n_<kind> of each base kind, base_sha256, spans for every row of docs (doc_id, text)."""
-    automaton = compiled(rules)
+    scanner = Scanner(rules)
     kinds = [r.kind for r in rules[:n_base]]
     names = ["doc_id", *(f"n_{k}" for k in kinds), "base_sha256", "spans"]
     none = hashlib.sha256(b"").hexdigest()
 
     def scan(it):
         for block in batches(it):
-            found = scan_block(block["text"].combine_chunks(), automaton, rules)
+            found = scan_block(block["text"].combine_chunks(), scanner)
             counts = np.zeros((n_base, len(found)), np.int64)
             digests, texts = [none] * len(found), [""] * len(found)
             for i, spans in enumerate(found):
@@ -414,14 +469,14 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(
 
 def redacted(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each stretch that spans cover replaced by `mark`; other texts, nulls too, stay as they are."""
-    automaton = compiled(rules)
+    scanner = Scanner(rules)
     at = docs.columns.index("text")
 
     def hide(it):
         for block in batches(it):
             column = block["text"].combine_chunks()
             texts = None
-            for i, spans in enumerate(scan_block(pc.fill_null(column, ""), automaton, rules)):
+            for i, spans in enumerate(scan_block(pc.fill_null(column, ""), scanner)):
                 if spans:
                     texts = column.to_pylist() if texts is None else texts
                     texts[i] = hidden(texts[i], spans, mark)

@@ -405,6 +405,20 @@ def test_quality_rules_become_columns(spark):
     assert quality.learn(docs, labels) == []
 
 
+#: Kind, pattern, the group whose length counts, its least length: the contract's three, then the method's own.
+SECRETS = [
+    ("assign", """((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{20,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+]
+
+
 def test_secret_spans(spark):
     long_key = "A" * 40
     texts = [
@@ -412,13 +426,16 @@ def test_secret_spans(spark):
         "AKIA" + "B" * 14, "AKIA" + "B" * 13, "é🙂 " + "0123456789abcdef" * 3, "0123456789abcde", "tokentoken=abcdefghijklmnop", "", None, "ghp_" + long_key, "xoxb-" + "1" * 20 + " -----BEGIN RSA PRIVATE KEY-----",
         "a" * 5000, "f" * 3000 + "g" + "password=" + "p" * 3000, "ſecret=abcdefghijklmno", "passwd=abc\npassword=abcdefghijklm", "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + ".c", "pass" * 400 + "word=" + "z" * 20,
     ]
+    rng = random.Random(8)
+    parts = ["password", "PASSWD", "token", "secret", "api_key", "ApiKey", "=", ":", " ", "  ", "'", '"', "AKIA", "A1", "Z9" * 9, "0a1b", "deadbeef" * 3, "ghp_", "xoxb-", "AIza", "sk_live_", "eyJ", ".", "-", "k" * 12, "x" * 35, "é", "🙂", "\n", "-----BEGIN ", "PRIVATE KEY-----", "_", "/+"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)]
     rows = [*enumerate(texts), (None, texts[0]), (3, texts[3])]
-    names = [r.kind for r in secrets.RULES]
+    names = [k for k, _, _, _ in SECRETS]
 
     def brute(text):
-        raw, out = (text or "").encode(), []
-        for k, r in enumerate(secrets.RULES):
-            out += [(len(raw[:a].decode()), k, len(raw[:b].decode())) for a, b in r.spans(raw)]
+        out = []
+        for k, (_, pattern, group, least) in enumerate(SECRETS):
+            out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text or "") if m.end(group) - m.start(group) >= least]
         return sorted(out)
 
     want = []
@@ -435,23 +452,23 @@ def test_secret_spans(spark):
 
 
 def test_automaton_is_one_sequential_pass():
-    a = secrets.compiled()
+    a = secrets.Scanner().heads
     rng = random.Random(2)
     parts = ["password", "pass", "tok", "token", "=", ": ", "'", "abcdef0123", "AKIA", "Z9", " ", "ghp_", "é", "\n", "secret", "api", "_", "key"]
     data = np.frombuffer("".join(rng.choice(parts) for _ in range(4000)).encode(), np.uint8)
-
-    def hits(lane, every):
-        return sorted(zip(*[x.tolist() for x in a.hits(data, lane, every)], strict=True))
-
     want, state = [], a.start
-    for i, c in enumerate(a.classes[data].tolist()):
-        old, state = state, int(a.table[state * a.width + c]) // a.width
-        if fresh := int(a.masks[state] & ~a.masks[old]):
-            want.append((i, fresh))
-    assert set(want) <= set(hits(1 << 16, 16)) and len(want) > 50
-    for lane in (16, 48):
-        places = {p for p, _ in hits(lane, 16)}
-        assert {p for p, _ in want} <= places
+    for i in reversed(range(len(data))):
+        state = int(a.table[state, a.classes[data[i]]])
+        if a.masks[state]:
+            want.append((i, int(a.masks[state])))
+    for lane, every in ((1 << 16, 16), (16, 16), (48, 16), (1024, 16), (8, 4)):
+        assert list(zip(*[x.tolist() for x in a.starts(data, lane, every)], strict=True)) == want[::-1]
+    assert len(want) > 50 and len(a.starts(data[:0])[0]) == 0
+
+
+def test_starts_before_one_long_run_stay_linear():
+    text = "eyJ" * 20_000
+    assert secrets.scan_block(pa.array([text, "AKIA" * 5000, text + ".eyJ" + "z" * 20 + ".b"]), secrets.Scanner()) == [None, [(0, 1, 20_000)], [(0, 7, len(text) + 26)]]
 
 
 # --- 8 ----------------------------------------------------------------------------------------------------------------
