@@ -73,6 +73,23 @@ def test_exact_dedup(spark, corpus, how):
     assert exact_dedup.exact_dedup(table(spark, []), **how).count() == 0
 
 
+def test_lookups_go_through_the_directory(spark, corpus, monkeypatch):
+    """With a directory that names other buckets to readers than to the index, no copy is found."""
+    docs = table(spark, corpus)
+    want = exact_dedup.exact_dedup(docs, capacity=4).where("group_size > 1").count()
+    plan = exact_dedup.chains(docs.select("bucket", "h", "text", "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert want > 10 and plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1, plan
+    looked_up, calls = exact_dedup.looked_up, []
+
+    def astray(rows, lookup, depth):
+        calls.append(depth)
+        out = looked_up(rows, lookup, depth)
+        return out if len(calls) == 1 else out.withColumn("bucket", F.col("bucket") + 1)
+
+    monkeypatch.setattr(exact_dedup, "looked_up", astray)
+    assert exact_dedup.exact_dedup(docs, capacity=4).where("group_size > 1").count() < want and min(calls) >= 2
+
+
 def test_directory_splits_only_full_buckets(spark):
     # 8 keys share their first 3 bits, one stands alone: only the full bucket's path gets deeper.
     keys = [(1 << 61) | (k << 50) for k in range(8)] + [-1]
