@@ -12,6 +12,7 @@ class Config:
     default_namespace: str = "default"
     lock_timeout_ms: int = 5_000
     lease_ttl_ms: int = 30_000
+    commit_attempts: int = 3
     event_poll_interval_ms: int = 1_000
     event_claim_limit: int = 100
     max_events_per_iteration: int = 1_000

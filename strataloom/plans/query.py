@@ -187,7 +187,7 @@ class _Query:
         return replace(self, mode=Mode("as_of", commit_id))
 
     def with_history(self):
-        """All versions, in order of commits."""
+        """All versions; collect() gives them in order of commits."""
         return replace(self, mode=Mode("history"))
 
     def history_since(self, commit_id: int):
@@ -210,8 +210,8 @@ class _Query:
         if self.order is not None:
             column, _ = self._order_column()
             df = df.orderBy(column.desc_nulls_last() if self.order[1] else column.asc_nulls_first())
-        elif self.mode.name in ("history", "since"):
-            df = df.orderBy("commit_id", "seq", *key)
+        elif self.mode.name in ("history", "since") and (self.rows is not None or self.skip):
+            df = df.orderBy("commit_id", "seq", *key)  # a page of versions is cut in their order
         if self.skip:
             df = df.offset(self.skip)
         return df if self.rows is None else df.limit(self.rows)
@@ -316,7 +316,10 @@ class EntityQuery(_Query):
         return self._matching().agg(F.sum(column.try_cast("double") if self._resolve(ref)[1].kind == "json" else column.cast("double"))).first()[0]
 
     def collect(self) -> list[Any]:
-        return [entity_of(self.cls, r["key"], r["commit_id"], r["fields"]) for r in self.state_df().select("key", "commit_id", "fields").collect()]
+        rows = self.state_df()
+        if self.order is None and self.mode.name in ("history", "since"):
+            rows = rows.orderBy("commit_id", "seq", "key")
+        return [entity_of(self.cls, r["key"], r["commit_id"], r["fields"]) for r in rows.select("key", "commit_id", "fields").collect()]
 
     def via(self, relation: type[Relation]) -> TraversalQuery:
         """A traversal from the entities that the conditions choose; order, page and mode do not carry over."""

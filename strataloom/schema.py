@@ -6,14 +6,15 @@ import base64
 import hashlib
 import importlib
 import json
-import threading
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .errors import ConcurrentWriteError, MigrationError, MigrationTokenError, MissingUpgraderError, SchemaOutdatedError, TypeSchemaDiff
 from .model import Entity
@@ -130,19 +131,6 @@ def preview(store: Store, types: list[type], upgraders: Upgraders | None = None)
     return out
 
 
-class LeaseKeeper(threading.Thread):
-    """Renews a lock while a long step runs."""
-
-    def __init__(self, store: Store, owner: str, lease_ms: int):
-        super().__init__(daemon=True)
-        self.store, self.owner, self.lease_ms = store, owner, lease_ms
-        self.done = threading.Event()
-
-    def run(self) -> None:
-        while not self.done.wait(self.lease_ms / 3000):
-            self.store.renew_lock(self.owner, self.lease_ms)
-
-
 def migrate(store: Store, types: list[type], upgraders: Upgraders | None = None, token: str | None = None, force: bool = False, owner: str = "migration", lock_timeout_ms: int = 5000, lease_ms: int = 30_000) -> MigrationResult:
     """Rewrites the latest rows of all changed types under new schema versions, in one commit.
 
@@ -151,40 +139,35 @@ def migrate(store: Store, types: list[type], upgraders: Upgraders | None = None,
     """
     began, upgraders = time.time(), upgraders or {}
     with store.locked(owner, lock_timeout_ms, lease_ms):
-        keeper = LeaseKeeper(store, owner, lease_ms)
-        keeper.start()
-        try:
-            plan = preview(store, types, upgraders)
-            if not plan.has_changes:
-                return MigrationResult(True, duration_s=time.time() - began)
-            if not force and token != plan.token:
-                raise MigrationTokenError("the token is of another plan or another head commit")
-            if plan.missing_upgraders:
-                raise MissingUpgraderError(plan.missing_upgraders)
-            rows, result = {}, MigrationResult(True)
-            changed = _changed(store, types)
-            for cls, stored in changed:
-                version = stored["schema_version_id"] + 1
-                if plan.estimated_rows[cls.type_name]:
-                    latest = _stored_latest(store, cls, stored)
-                    rows[cls.kind, cls.type_name] = (_upgraded(latest, cls, stored, upgraders[cls.type_name, stored["schema_version_id"]]), version)
-                result.types_migrated.append(cls.type_name)
-                result.rows_migrated[cls.type_name] = plan.estimated_rows[cls.type_name]
-                result.new_schema_versions[cls.type_name] = version
-            if rows:
-                try:
-                    commit_id = store.publish(rows, {"operation": "migration", "types": result.types_migrated, "rows": result.rows_migrated})
-                except ConcurrentWriteError:
-                    raise
-                except Exception as e:
-                    raise MigrationError(_told(e)) from e
-                del commit_id
-            for cls, _ in changed:
-                store.add_schema(cls)
-            result.duration_s = time.time() - began
-            return result
-        finally:
-            keeper.done.set()
+        head = store.head()
+        plan = preview(store, types, upgraders)
+        if not plan.has_changes:
+            return MigrationResult(True, duration_s=time.time() - began)
+        if not force and token != plan.token:
+            raise MigrationTokenError("the token is of another plan or another head commit")
+        if plan.missing_upgraders:
+            raise MissingUpgraderError(plan.missing_upgraders)
+        rows, result = {}, MigrationResult(True)
+        changed = _changed(store, types)
+        for cls, stored in changed:
+            version = stored["schema_version_id"] + 1
+            if plan.estimated_rows[cls.type_name]:
+                latest = _stored_latest(store, cls, stored)
+                rows[cls.kind, cls.type_name] = (_upgraded(latest, cls, stored, upgraders[cls.type_name, stored["schema_version_id"]]), version)
+            result.types_migrated.append(cls.type_name)
+            result.rows_migrated[cls.type_name] = plan.estimated_rows[cls.type_name]
+            result.new_schema_versions[cls.type_name] = version
+        if rows:
+            try:
+                store.publish(rows, {"operation": "migration", "types": result.types_migrated, "rows": result.rows_migrated}, head or 0)
+            except ConcurrentWriteError:
+                raise
+            except Exception as e:
+                raise MigrationError(_told(e)) from e
+        for cls, _ in changed:
+            store.add_schema(cls)
+        result.duration_s = time.time() - began
+        return result
 
 
 def _told(error: Exception) -> str:
@@ -200,7 +183,7 @@ def _upgraded(latest, cls: type, stored: dict[str, Any], upgrade):
     key, name = keys_of(cls.kind), cls.type_name
     key_field = cls.key_field if issubclass(cls, Entity) else None
 
-    def rows(row):
+    def upgraded(row):
         identity = tuple(row[k] for k in key)
         data = {n: t.from_row(row["fields"][n]) for n, t in old.items()}
         try:
@@ -219,5 +202,43 @@ def _upgraded(latest, cls: type, stored: dict[str, Any], upgrade):
         return (*identity, 0, tuple(values) or (None,))
 
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in key], T.StructField("seq", T.LongType()), T.StructField("fields", cls.payload())])
-    # The upgrader takes and gives Python dictionaries, whose shapes Arrow cannot know: rows go through one by one.
-    return latest.sparkSession.createDataFrame(latest.select(*key, "fields").rdd.map(rows), schema)
+    shape = T.StructType([T.StructField("fields", cls.payload())])
+    before = T.StructType([latest.schema["fields"]])
+
+    # The upgrader takes and gives Python dictionaries; rows travel to it and back in batches.
+    def batches(it):
+        arrow = to_arrow_schema(schema)
+        for batch in it:
+            out = []
+            for row in batch.to_pylist():
+                *identity, seq, values = upgraded(row | _plain({"fields": row["fields"]}, before))
+                out.append(dict(zip(key, identity, strict=True)) | {"seq": seq} | _nested((values,), shape))
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return latest.select(*key, "fields").mapInArrow(batches, schema)
+
+
+def _nested(value: Any, kind: T.DataType) -> Any:
+    """A row's value as Arrow takes it: structs as dictionaries, maps as pairs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _nested(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+    if isinstance(kind, T.MapType):
+        return [(k, _nested(v, kind.valueType)) for k, v in value.items()]
+    if isinstance(kind, T.ArrayType):
+        return [_nested(v, kind.elementType) for v in value]
+    return value
+
+
+def _plain(value: Any, kind: T.DataType) -> Any:
+    """The reverse for maps, which come as pairs: dictionaries."""
+    if value is None:
+        return None
+    if isinstance(kind, T.MapType):
+        return {k: _plain(v, kind.valueType) for k, v in value}
+    if isinstance(kind, T.ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(value[f.name], f.dataType) for f in kind.fields}
+    return value

@@ -10,6 +10,10 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 
+#: Stores whose rename copies: a file is created there under the condition that there is none.
+OBJECT_STORES = ("s3a", "s3", "gs", "abfs", "abfss", "oss", "cosn")
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -50,18 +54,34 @@ class Files:
 
     def create_json(self, name: str, value: Any) -> bool:
         """Writes a new file whole; False if there is one already."""
+        data = json.dumps(value, sort_keys=True).encode()
+        if self._local is None and str(self._fs.getScheme()) in OBJECT_STORES:
+            return self._create(name, data)
         side = f"{name}.{uuid.uuid4().hex}.tmp"
-        self._put(side, json.dumps(value, sort_keys=True).encode(), True)
+        self._put(side, data, True)
         try:
             if self._local is not None:
                 os.link(f"{self._local}/{side}", f"{self._local}/{name}")
                 return True
-            return not self.exists(name) and bool(self._fs.rename(self._at(side), self._at(name)))
+            self._fs.mkdirs(self._at(name).getParent())
+            return bool(self._fs.rename(self._at(side), self._at(name)))  # refuses a target that is there
         except Exception:  # some stores raise where the target is there
             return False
         finally:
             self._fs.delete(self._at(side), False)
 
+    def _create(self, name: str, data: bytes) -> bool:
+        """Creates the file in one conditional request of the store; False if there is one already."""
+        builder = self._fs.createFile(self._at(name)).overwrite(False).recursive()
+        builder.opt("fs.s3a.create.conditional.overwrite", True)
+        try:
+            stream = builder.build()
+            stream.write(bytearray(data))
+            stream.close()  # the request that can fail
+        except Exception:
+            return False
+        return True
+
     def write_json(self, name: str, value: Any) -> None:
         self._put(name, json.dumps(value, sort_keys=True).encode(), True)
 
@@ -73,6 +93,8 @@ class Files:
                 os.makedirs(os.path.dirname(f"{self._local}/{name}"), exist_ok=True)
                 with open(f"{self._local}/{name}", "xb") as f:
                     f.write(data)
+            elif str(self._fs.getScheme()) in OBJECT_STORES:
+                return self._create(name, data)
             else:
                 self._put(name, data, False)
         except Exception:

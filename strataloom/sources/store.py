@@ -1,14 +1,17 @@
 """The commit log: typed Parquet files for each commit and type, and one manifest for each commit.
 
     engine.json               the engine's version
-    manifests/<commit>.json   id, created_at, metadata, and for each type its file and rows; creating it publishes
+    manifests/<commit>.json   id, created_at, metadata, and for each type its folder, rows and files with their SHA-256;
+                              creating it publishes
     data/<kind>/<type>/...    Parquet: identity, commit_id, schema_version_id, seq, fields
     schemas/<kind>/<type>/<version>.json, layouts.json, dropped.json
     index/<kind>/<type>.json  which files hold which commits; advisory, as manifests say it too
     lock.json                 the write lease
 
-Nothing of a commit is visible before its manifest is, and a manifest is created by one step of the store, so
-writers that race cannot both publish a commit. Reads take their files from the index, or from the manifests where it
+Nothing of a commit is visible before its manifest is, and a manifest is created by one step of the store: a link on
+a local disk, a conditional create on an object store, a rename that refuses an existing target elsewhere. So writers
+that race cannot both publish a commit. A writer also says which head its rows were made against; if the head has
+moved since, it publishes nothing, however its lease on the lock stands. Reads take their files from the index, or from the manifests where it
 lags, so only files of the wanted commits are opened.
 """
 
@@ -20,6 +23,7 @@ import json
 import os
 import shutil
 import tempfile
+import threading
 import time
 import uuid
 from typing import Any
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ConcurrentWriteError, LockContentionError, SchemaOutdatedError, StorageBackendError, UninitializedStorageError
+from ..errors import ConcurrentWriteError, HeadMismatchError, LockContentionError, SchemaOutdatedError, StorageBackendError, UninitializedStorageError
 from ..model import Entity, schema_hash
 from ..operators import temporal
 from ..plans.query import Layout, QueryBuilder
@@ -81,6 +85,19 @@ def parse_uri(uri: str, shared: str | None = None) -> str:
     return uri if uri.startswith("file:") else "file://" + os.path.abspath(uri)
 
 
+class LeaseKeeper(threading.Thread):
+    """Renews a lock while what it protects runs."""
+
+    def __init__(self, store: Store, owner: str, lease_ms: int):
+        super().__init__(daemon=True)
+        self.store, self.owner, self.lease_ms = store, owner, lease_ms
+        self.done = threading.Event()
+
+    def run(self) -> None:
+        while not self.done.wait(self.lease_ms / 3000):
+            self.store.renew_lock(self.owner, self.lease_ms)
+
+
 class Store:
     """One datastore. Also a provider of histories for queries."""
 
@@ -146,15 +163,19 @@ class Store:
             self.files.take("lock.json", held)
 
     def locked(self, owner: str, timeout_ms: int = 5000, lease_ms: int = 30_000):
-        """A context in which the lock is held."""
+        """A context in which the lock is held, and its lease renewed."""
         store = self
 
         class Held:
             def __enter__(self):
                 if not store.acquire_lock(owner, timeout_ms, lease_ms):
                     raise LockContentionError(timeout_ms)
+                self.keeper = LeaseKeeper(store, owner, lease_ms)
+                self.keeper.start()
 
             def __exit__(self, *_):
+                self.keeper.done.set()
+                self.keeper.join()
                 store.release_lock(owner)
 
         return Held()
@@ -176,25 +197,42 @@ class Store:
             self._manifests[commit_id] = found  # manifests never change
         return self._manifests[commit_id]
 
-    def publish(self, rows: dict[tuple[str, str], tuple[DataFrame, int]], metadata: dict[str, Any]) -> int:
-        """Appends one commit: for each (kind, type name) its rows (identity, seq, fields) and schema version."""
-        commit_id = (self.head() or 0) + 1
+    def publish(self, rows: dict[tuple[str, str], tuple[DataFrame, int]], metadata: dict[str, Any], made_at: int | None = None) -> int:
+        """Appends one commit: for each (kind, type name) its rows (identity, seq, fields) and schema version.
+
+        made_at: the head (0: none) that the rows were made against; an error if it is not the head any more.
+        """
+        head = self.head() or 0
+        if made_at is not None and made_at != head:
+            raise HeadMismatchError
+        commit_id = head + 1
         written = []
         for (kind, name), (df, version) in sorted(rows.items()):
             path = f"data/{kind}/{name}/c{commit_id:012d}-{uuid.uuid4().hex[:8]}"
             whole = df.select(*keys_of(kind), F.lit(commit_id).cast("long").alias("commit_id"), F.lit(version).cast("int").alias("schema_version_id"), F.col("seq").cast("long"), "fields")
             whole.write.parquet(f"{self.files.root}/{path}")
-            written.append({"kind": kind, "type_name": name, "schema_version_id": version, "path": path})
+            written.append({"kind": kind, "type_name": name, "schema_version_id": version, "path": path} | self._described(path))
         manifest = {"id": commit_id, "created_at": now().isoformat(), "metadata": metadata, "types": written}
         if not self.files.create_json(f"manifests/{commit_id:012d}.json", manifest):
             for w in written:
                 self.files.delete(w["path"])
-            raise ConcurrentWriteError
+            raise HeadMismatchError
         for w in written:
             self._activate(w["kind"], w["type_name"], w["schema_version_id"], commit_id)
             self._index(w["kind"], w["type_name"], commit_id, w["path"])
         return commit_id
 
+    def _described(self, path: str) -> dict[str, Any]:
+        """The rows of a written folder and its files' lengths and SHA-256, which executors compute."""
+        whole = f"{self.files.root}/{path}"
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(whole)
+        named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        return {"rows": self.spark.read.parquet(whole).count(), "files": [r.asDict() for r in named.orderBy("name").collect()]}
+
+    def verify_files(self, commit_id: int) -> list[str]:
+        """The folders of a commit whose files are not as its manifest says."""
+        return [t["path"] for t in (self.manifest(commit_id) or {"types": []})["types"] if {k: t.get(k) for k in ("rows", "files")} != self._described(t["path"])]
+
     def commits_df(self) -> DataFrame:
         """id, created_at, metadata (JSON text) of all commits."""
         rows = [(m["id"], m["created_at"], json.dumps(m["metadata"], sort_keys=True)) for m in map(self.manifest, self.commit_ids())]
@@ -329,13 +367,13 @@ class Store:
     def history(self, cls: type, lower: int | None = None, upper: int | None = None) -> DataFrame:
         return self.raw_history(cls.kind, cls.type_name, lower, upper, cls.payload())
 
-    def latest_rows(self, cls: type, only: DataFrame | None = None, n_only: int | None = None) -> DataFrame:
-        """The newest version of each identity, of any schema version; with `only` of its identities.
+    def latest_rows(self, cls: type, only: DataFrame | None = None, n_only: int | None = None, upper: int | None = None) -> DataFrame:
+        """The newest version of each identity, of any schema version, up to a commit; with `only` of its identities.
 
         n_only: how many rows `only` has, if that is known. A few go to the scan by broadcast, so that the rest of
         the history is not shuffled.
         """
-        rows, key = self.history(cls), keys_of(cls.kind)
+        rows, key = self.history(cls, upper=upper), keys_of(cls.kind)
         if only is not None:
             keys = only.select(*key)
             if n_only is not None and n_only <= BROADCAST_KEYS:
