@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,13 +28,31 @@ def claims(log: DataFrame) -> DataFrame:
     )
 
 
-def claimable(events: DataFrame, log: DataFrame, handler_id: str, types: Sequence[str], now: str) -> DataFrame:
-    """The events a handler may take, with `failures` and the last `attempt`: highest priority first, then oldest."""
-    mine = claims(log.where(F.col("handler_id") == handler_id)).drop("handler_id")
-    joined = events.where(F.col("type").isin(list(types))).join(mine, F.col("id") == F.col("event_id"), "left").drop("event_id")
+_STANDS = ("attempt", "failures", "ack_at", "dead_lettered_at", "claimed", "settled", "lease_until", "available_at")
+
+
+def _free(now: str) -> Column:
+    """Whether an event's claims, joined to it, leave it to a handler."""
     held = F.coalesce(F.col("claimed") > F.coalesce("settled", F.lit(-1)), F.lit(False)) & F.coalesce(F.col("lease_until") > now, F.lit(False))
-    free = F.col("ack_at").isNull() & F.col("dead_lettered_at").isNull() & ~held & F.coalesce(F.col("available_at") <= now, F.lit(True))
-    return joined.where(free).orderBy(F.desc("priority"), "created_at", "id")
+    return F.col("ack_at").isNull() & F.col("dead_lettered_at").isNull() & ~held & F.coalesce(F.col("available_at") <= now, F.lit(True))
+
+
+def offers(events: DataFrame, log: DataFrame, wants: DataFrame, now: str, limit: int) -> DataFrame:
+    """The events that each handler may take, at most `limit` a handler: highest priority first, then oldest.
+
+    wants: handler_id, type, rank (the handlers' order), a row for each handler and type. One join serves all handlers;
+    the limit runs before the rows of a handler meet.
+    """
+    stand = claims(log).select(F.col("event_id").alias("id"), "handler_id", *_STANDS)
+    turn = Window.partitionBy("handler_id").orderBy(F.desc("priority"), "created_at", "id")
+    free = events.join(F.broadcast(wants), "type").join(stand, ["id", "handler_id"], "left").where(_free(now))
+    return free.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= limit)
+
+
+def claimable(events: DataFrame, log: DataFrame, handler_id: str, types: Sequence[str], now: str) -> DataFrame:
+    """The events that one handler may take, with `failures` and the last `attempt`: highest priority first, then oldest."""
+    mine = claims(log.where(F.col("handler_id") == handler_id)).select(F.col("event_id").alias("id"), *_STANDS)
+    return events.where(F.col("type").isin(list(types))).join(mine, "id", "left").where(_free(now)).orderBy(F.desc("priority"), "created_at", "id")
 
 
 def backoff_ms(failures: Column | int, base_ms: int, most_ms: int) -> Column:

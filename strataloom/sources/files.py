@@ -124,3 +124,9 @@ class Files:
         if not self.exists(folder):
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder)))
+
+    def matching(self, pattern: str) -> list[str]:
+        """The files that a glob pattern names, relative to the root, by name."""
+        found = self._fs.globStatus(self._at(pattern)) or []
+        depth = pattern.count("/") + 1
+        return sorted("/".join(str(s.getPath().toUri().getPath()).split("/")[-depth:]) for s in found)
