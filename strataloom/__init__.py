@@ -6,6 +6,7 @@ from .errors import (
     ConcurrentWriteError,
     EventLoopLimitError,
     HandlerError,
+    HeadMismatchError,
     LeaseExpiredError,
     LockContentionError,
     MetadataUnavailableError,
@@ -30,7 +31,7 @@ __version__ = "0.1.0"
 
 __all__ = [
     "BatchSizeExceededError", "CommitContext", "ConcurrentWriteError", "Config", "Entity", "Event", "EventDeadLetter", "EventLoopLimitError", "Field", "FrameProvider",
-    "HandlerContext", "HandlerError", "Layout", "LeaseExpiredError", "LockContentionError", "Meta", "MetadataUnavailableError", "MigrationError", "MigrationPreview",
+    "HandlerContext", "HandlerError", "HeadMismatchError", "Layout", "LeaseExpiredError", "LockContentionError", "Meta", "MetadataUnavailableError", "MigrationError", "MigrationPreview",
     "MigrationResult", "MigrationTokenError", "MissingUpgraderError", "Path", "Relation", "Schedule", "SchemaOutdatedError", "Session", "StorageBackendError",
     "StoreError", "TypeSchemaDiff", "UninitializedStorageError", "ValidationError", "avg", "count", "left", "load_upgraders", "max", "meta", "min", "on_commit",
     "on_commit_entity", "on_commit_relation", "on_event", "on_schedule", "right", "sum", "upgrader",
