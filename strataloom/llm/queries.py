@@ -57,7 +57,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, from flat token files; null ids have no document to count."""
+    """Tokens of every document, from flat token files."""
     return counted(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), end=50256)
 
 

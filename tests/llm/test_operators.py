@@ -188,11 +188,28 @@ def test_encoding_round_trip(spark, corpus):
     assert encoding.round_trip(table(spark, []), BYTE_BPE).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 100, 1 << 19])
-def test_token_counts(spark, corpus, block):
+@pytest.fixture
+def ranges(spark):
+    """Files are read in ranges of about as many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def put(size):
+        for n, v in zip(names, (size, 0), strict=True):
+            spark.conf.set(n, v)
+
+    yield put
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("block,size", [(50, 20_000), (1000, 7777), (1 << 19, 1 << 27)])
+def test_token_counts(spark, corpus, block, size, ranges):
     lib = library(BYTE_BPE)
-    df = token_counts.counted(table(spark, corpus), BYTE_BPE, 50256, block_tokens=block).persist()
-    assert got(df, "doc_id", "n_tokens") == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in corpus if i is not None), key=str)
+    docs = table(spark, corpus)
+    ranges(size)
+    df = token_counts.counted(docs, BYTE_BPE, 50256, block_bytes=block).persist()
+    assert got(df, "doc_id", "n_tokens") == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in corpus), key=str)
     for _, rows in itertools.groupby(sorted(df.collect(), key=lambda r: (r.stream, r.ordinal)), key=lambda r: r.stream):
         at = 0
         for n, r in enumerate(rows):
@@ -207,8 +224,8 @@ def test_markers_in_texts_are_no_separators(spark):
     rows = [(i, t) for i, t in enumerate(["one two", f"a {mark} b", mark, "three four five", f"{mark}{mark} x", "", f"y {mark}", "last words here", None])] * 3
     rows = [(100 * k + i, t) for k, (i, t) in enumerate(rows)]
     lib = library(BYTE_BPE)
-    for block in (2, 1 << 19):
-        df = token_counts.counted(table(spark, rows), BYTE_BPE, 50256, block_tokens=block).persist()
+    for block in (20, 1 << 19):
+        df = token_counts.counted(table(spark, rows), BYTE_BPE, 50256, block_bytes=block).persist()
         assert got(df, "doc_id", "n_tokens") == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=str)
         for _, found in itertools.groupby(sorted(df.collect(), key=lambda r: (r.stream, r.ordinal)), key=lambda r: r.stream):
             at = 0
@@ -217,19 +234,34 @@ def test_markers_in_texts_are_no_separators(spark):
                 at += r.n_tokens + 1
 
 
-def test_flat_files_span_documents(spark, tmp_path):
-    lengths = [5, 0, 0, 40, 1, 7, 300, 2]
-    run = np.concatenate([np.append(np.arange(n) % 50, 999) for n in lengths] + [np.arange(4)]).astype("<u2")
+@pytest.mark.parametrize("width,end,size", [(2, 999, 300), (2, 50256, 151), (4, 70000, 402), (2, 999, 1 << 27)])
+def test_flat_files_span_documents(spark, tmp_path, ranges, width, end, size):
+    """Any lengths, files that cut documents, ranges that cut identifiers, the separator's bytes between identifiers."""
+    rng, raw = random.Random(width + size), end.to_bytes(width, "little")
+    shifted = [int.from_bytes(b"\x07" * (width - 1) + raw[:1], "little"), int.from_bytes(raw[1:] + b"\x09", "little")]
+    docs = [[x for _ in range(rng.choice((0, 1, 2, 30))) for x in rng.choice(([5], shifted, [end + 1], [int.from_bytes(raw[::-1], "little") ^ 1]))] for _ in range(60)]
+    docs += [[7] * 500, [], shifted * 40]
+    tail = [3, 4, *shifted]
+    run = np.array([x for d in docs for x in [*d, end]] + tail, f"<u{width}")
     at = 0
-    for k, n in enumerate((3, 60, 1, 200, 10_000)):  # documents lie across files
+    for k, n in enumerate((3, 60, 1, 200, 0, 10_000)):  # documents lie across files
         (tmp_path / f"{k:03d}.bin").write_bytes(run[at : at + n].tobytes())
         at += n
-    found = token_counts.documents_in(token_counts.flat_files(spark, str(tmp_path), 2, block_tokens=16), 999).orderBy("ordinal").collect()
-    assert [(r.n_tokens, r.terminated) for r in found] == [*[(n, True) for n in lengths], (4, False)]
-    assert [r.start for r in found] == np.cumsum([0, *[n + 1 for n in lengths]]).tolist()
+    ranges(size)
+    blocks = token_counts.searched(spark, str(tmp_path), end, width, block_bytes=40)
+    if size < 1000:
+        assert blocks.select("file", "range").distinct().count() > 8  # one file, many tasks
+    found = token_counts.documents_in(blocks, width, one_stream=True).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.terminated) for r in found] == [*[(len(d), True) for d in docs], (len(tail), False)]
+    assert [r.start for r in found] == np.cumsum([0, *[len(d) + 1 for d in docs]]).tolist()
+    plan = token_counts.documents_in(blocks, width)._jdf.queryExecution().executedPlan().toString()
+    assert "hits" not in "".join(x for x in plan.splitlines() if "Window" in x)
     (tmp_path / "bad.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="within an identifier"):
-        token_counts.documents_in(token_counts.flat_files(spark, str(tmp_path), 2), 999).count()
+        token_counts.documents_in(token_counts.searched(spark, str(tmp_path), end, width), width).count()
+    for overlapping in (0, 0x4141):
+        with pytest.raises(ValueError):
+            token_counts.separator(overlapping, 2)
 
 
 def test_word_tokenizer_is_the_librarys(odd_texts):
@@ -590,7 +622,32 @@ def test_components_of_long_chains(spark):
     assert found == {i: 0 for i in range(1, 61)} | {i: 200 for i in range(201, 230)}
 
 
-def test_queries_are_registered():
+def test_queries_over_tables(spark, tmp_path):
+    """Every registered query over small tables; those with SQL give its rows."""
+    duckdb = pytest.importorskip("duckdb")
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}
     assert numbers == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
-    assert F is not None
+    rng = random.Random(6)
+    passage = " ".join(f"w{i}" for i in range(25))
+    texts = [None, "", "a b c", *(prose(rng, rng.randrange(120)) for _ in range(40)), *(f"{prose(rng, 5)} {passage} {prose(rng, 5)}" for _ in range(5))]
+    texts += texts[3:12]
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    lib, word = library(BYTE_BPE), library(WORD_BPE)
+    for name, query in queries.QUERIES.items():
+        df = query(spark, str(tmp_path)).persist()
+        if name in queries.ORACLES:
+            told = con.execute(queries.ORACLES[name])
+            columns = [d[0] for d in told.description]
+            assert got(df, *columns) == sorted(told.fetchall(), key=str), name
+        elif name.startswith("op4"):
+            assert df.agg(F.sum("length")).first()[0] == sum(len(word.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+        else:
+            assert sorted(r.doc_id for r in df.select("doc_id").collect()) == list(range(len(texts))), name
+        if name.startswith("op5"):
+            assert got(df, "doc_id", "n_tokens") == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)), key=str)
+        df.unpersist()
