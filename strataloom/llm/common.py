@@ -50,14 +50,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder, for files that several executors read.
 
-    Where the session names none (tests, one machine), a temporary folder is set that goes with the process. Tables in
-    a cluster's folder stay until they are removed there, as results are read lazily.
+    Where the session names none and runs on this machine alone (tests), a temporary folder is set that goes with the
+    process; a cluster without the setting is an error, as its machines would each write to a disk of their own. Tables
+    in a cluster's folder stay until they are removed there, as results are read lazily.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             top = found.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder, and executors need one that they share")
         else:
             own = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -78,6 +81,18 @@ def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text and the label of at most `rows` documents, chosen by a hash of their ids: one row an id.
+
+    Null labels and ids teach nothing, nor do ids whose labels differ; of texts that share an id the smallest counts.
+    """
+    told = labels.select("doc_id", label).dropna().groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_most"))
+    chosen = told.where(F.col(label) == F.col("_most")).drop("_most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # At most `rows` ids: two columns of a few bytes.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
 def input_bytes(df: DataFrame) -> int:
     """What the optimizer knows of the input's size, from file sizes, without a job."""
     try:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, batches, mixed
+from .common import Words, as_bytes, batches, labelled, mixed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_points")
 #: Labelled rows that are learned from at most.
@@ -234,9 +234,7 @@ def learn_list(x: dict[str, np.ndarray], quality: np.ndarray, precision: float =
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, **how) -> list[Rule]:
     """The decision list from a sample of at most `rows` labelled rows, chosen by a hash of their ids."""
-    chosen = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # At most `rows` ids: two long columns.
-    counted = with_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    counted = with_counts(labelled(docs, labels, "quality", rows))
     found = counted.where(~base_failed()).select("quality", *[feature(k).alias(k) for k in FEATURES]).toPandas()
     if found.empty:
         return []

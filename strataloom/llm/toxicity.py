@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored
+from .common import batches, labelled, stored
 
 #: Labelled rows that are learned from at most.
 LEARN_ROWS = 20_000
-#: Entries at most, and the evidence that an entry needs.
+#: Entries at most, exception phrases at most, and the evidence that an entry needs: bounds of the model's size.
 MOST_ENTRIES, LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 500, 5, 3.5, 3.2
 #: Lengths of stems.
 STEMS = range(3, 9)
@@ -202,6 +202,24 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(each, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def word_before(text: str, at: int, size: int = 40) -> str:
+    """The last word before a place, whole, however long; empty if there is none."""
+    while True:
+        words = WORD.findall(text[max(0, at - size) : at])
+        if len(words) > 1 or size >= at:
+            return words[-1] if words else ""
+        size *= 4
+
+
+def words_from(text: str, at: int, size: int = 80) -> tuple[str, str]:
+    """The word that begins at a place and the one after it, whole; empty where there is none."""
+    while True:
+        words = WORD.findall(text[at : at + size])
+        if len(words) > 2 or at + size >= len(text):
+            return tuple([*words[:2], "", ""][:2])
+        size *= 4
+
+
 def contexts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """phrase, a, b: in how many texts of label 1 and 0 an entry's word stands with a neighbour."""
 
@@ -213,11 +231,11 @@ def contexts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 text = folded(text)
                 phrases = set()
                 for begin, _, _ in matches(text, automaton):
-                    before, here = WORD.findall(text[max(0, begin - 40) : begin]), WORD.findall(text[begin : begin + 80])
+                    before, (here, after) = word_before(text, begin), words_from(text, begin)
                     if before and text[begin - 1] == " ":
-                        phrases.add(f"{before[-1]} {here[0]}")
-                    if len(here) > 2:
-                        phrases.add(f"{here[0]} {here[1]}")
+                        phrases.add(f"{before} {here}")
+                    if after:
+                        phrases.add(f"{here} {after}")
                 rows += [(p, y) for p in phrases]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["phrase", "label"])
 
@@ -247,9 +265,8 @@ def chosen_entries(rows: list[tuple[str, int, int, float]], ratio: float, most:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Lexicon:
     """The lexicon from at most `rows` labelled rows (doc_id, label), chosen by a hash of their ids."""
-    chosen = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # At most `rows` ids: a long and an int.
-    sample = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
+    binary = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    sample = stored(labelled(docs, binary, "label", rows), "labelled")
     single = stored(sketches(sample).groupBy("sketch", "label").agg(F.min("doc_id").alias("doc_id")), "single")
     sizes = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)

@@ -6,13 +6,15 @@ to whatever store the session writes to, and a lost executor leaves no half-writ
 
 `dedup_archives` reads only headers and digests first, shuffles those by digest (pre-aggregated, so a payload
 that a third of all records share is no hot key), joins every later record to its original, and writes new
-archives in which later records are revisits with fresh headers. Payloads do not travel: verdicts go to the
-archive that holds the record.
+archives in which later records are revisits with fresh headers. Verdicts go to the archive that holds the record, by
+a join on its path: while they are few they are broadcast and archives are read where they are rewritten; beyond the
+planner's bound the join moves archives, whole and compressed. An archive is one row, so it must be below 2 GB.
 
 Defined results: a null payload is empty. Payloads of at least `least_bytes` bytes are compared by SHA-1 and
 length; smaller ones are always responses. Of equal payloads the smallest row id is the response; ties go to
 the first place in the archives, null ids come last. Line ends within a URI are escaped, a null URI is left
-out. An empty table gives no records.
+out. Payloads of any length are written and compared whole; columns other than row_id, uri and payload are ignored,
+whatever their names. An empty table gives no records.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from strataloom.llm import bpe, encoding, exact_dedup, minhash, packing, quality, queries, secrets, substring_dedup, token_counts, toxicity, warc  # noqa: E402
+from strataloom.llm import bpe, common, encoding, exact_dedup, minhash, packing, quality, queries, secrets, substring_dedup, token_counts, toxicity, warc  # noqa: E402
 
 SCHEMA = "doc_id long, text string, h long, n long, size long, bucket long, total string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -404,6 +404,20 @@ def test_toxicity_learns(spark):
     assert toxicity.scored(table(spark, []), toxicity.learn(table(spark, []), lab.limit(0))).count() == 0
 
 
+def test_neighbours_are_whole_words():
+    long = "x" * 500
+    assert toxicity.word_before(f"{long} idiot", 501) == long and toxicity.word_before("idiot", 0) == "" and toxicity.word_before("a, b idiot", 5) == "b"
+    assert toxicity.words_from(f"idiot {long} z", 0) == ("idiot", long) and toxicity.words_from("idiot", 0) == ("idiot", "")
+
+
+def test_labels_that_clash_teach_nothing(spark):
+    docs = table(spark, [(1, "b"), (1, "a"), (2, "c"), (3, None), (None, "d")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, 1)], "doc_id long, y int")
+    found = common.labelled(docs, labels, "y", 10)
+    assert got(found, "doc_id", "text", "y") == [(1, "a", 1), (3, "", 0)]
+    assert common.labelled(docs, labels, "y", 1).count() <= 1
+
+
 def test_quality_counts(spark, corpus):
     want = []
     for i, t in corpus:
