@@ -103,6 +103,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, uri: str, create: bool = True):
         self.spark, self.uri = spark, uri
+        if uri == ":memory:" and not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise StorageBackendError("open", "a cluster needs a shared folder (spark.checkpoint.dir) for a temporary store")
         self.files = Files(spark, parse_uri(uri, spark.conf.get("spark.checkpoint.dir", None)))
         self._engine = self.files.read_json("engine.json")
         if self._engine is None:
