@@ -11,7 +11,6 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from strataloom.llm import quality, secrets  # noqa: E402
 from strataloom.llm.queries import vocabulary_file  # noqa: E402
 
 from .test_operators import bag, library, prose, similarity  # noqa: E402
@@ -130,4 +129,3 @@ def test_run_is_the_stages(spark, folder):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and {"doc_id", "sequence_id"} <= set(out.columns)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
-    assert quality.COUNTS and secrets.RULES
