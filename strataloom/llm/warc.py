@@ -6,9 +6,10 @@ to whatever store the session writes to, and a lost executor leaves no half-writ
 
 `dedup_archives` reads only headers and digests first, shuffles those by digest (pre-aggregated, so a payload
 that a third of all records share is no hot key), joins every later record to its original, and writes new
-archives in which later records are revisits with fresh headers. Verdicts go to the archive that holds the record, by
-a join on its path: while they are few they are broadcast and archives are read where they are rewritten; beyond the
-planner's bound the join moves archives, whole and compressed. An archive is one row, so it must be below 2 GB.
+archives in which later records are revisits with fresh headers. Verdicts go to the task that rewrites the archive, by a
+join on its path alone; that task opens the archive itself and reads it as a stream, so no archive is shuffled or held
+whole. Where workers cannot open the paths (a task tries one first), Spark reads the archives instead: they are then
+rows of below 2 GB each, and the join moves them.
 
 Defined results: a null payload is empty. Payloads of at least `least_bytes` bytes are compared by SHA-1 and
 length; smaller ones are always responses. Of equal payloads the smallest row id is the response; ties go to
@@ -21,10 +22,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ HEADER = "archive string, place long, row_id long, record_id string, uri string,
 GZIP_LEVEL = "THREE"
 #: Records of one archive at most.
 PER_ARCHIVE = 20_000
+#: Compressed bytes that one task rewrites, about.
+TASK_BYTES = 64 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -76,21 +83,21 @@ def _write(records: DataFrame, out: str, per_archive: int) -> None:
 
 
 class _Stream:
-    """Reads a gzip file's bytes without holding all of it decompressed."""
+    """Reads a gzip file's bytes without holding all of it, compressed or not."""
 
-    def __init__(self, data: memoryview):
-        self.rest, self.buffer, self.at, self.place = data, b"", 0, 0
-        self.gz = zlib.decompressobj(31)
+    def __init__(self, file: BinaryIO):
+        self.file, self.rest, self.buffer, self.at, self.place = file, b"", b"", 0, 0
+        self.gz, self.fed = zlib.decompressobj(31), False
 
     def _more(self) -> bool:
-        if self.gz.eof and self.gz.unused_data:  # archives of one member a record have many
-            self.rest, self.gz = memoryview(self.gz.unused_data + bytes(self.rest)), zlib.decompressobj(31)
-        if not len(self.rest) and not self.gz.unconsumed_tail:
+        if self.gz.eof:  # archives of one member a record have many
+            self.rest, self.gz, self.fed = self.gz.unused_data, zlib.decompressobj(31), False
+        part, self.rest = self.gz.unconsumed_tail or self.rest or self.file.read(1 << 20), b""
+        if not part:
+            if self.fed and not self.gz.eof:
+                raise ValueError("an archive ends within a gzip member")
             return False
-        if self.gz.unconsumed_tail:
-            part = self.gz.unconsumed_tail
-        else:
-            part, self.rest = self.rest[: 1 << 20], self.rest[1 << 20 :]
+        self.fed = True
         self.buffer, self.at = self.buffer[self.at :] + self.gz.decompress(part, 4 << 20), 0
         return True
 
@@ -98,6 +105,8 @@ class _Stream:
         """Up to the next empty line."""
         while (end := self.buffer.find(b"\r\n\r\n", self.at)) < 0:
             if not self._more():
+                if self.buffer[self.at :].strip():
+                    raise ValueError("an archive ends within a record's header")
                 return None
         return self.take(end + 4 - self.at)
 
@@ -112,9 +121,9 @@ class _Stream:
         return out
 
 
-def parse(data: bytes | memoryview) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def parse(file: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(place, header fields in lower case, block) of each record of a gzip-compressed archive."""
-    stream = _Stream(memoryview(data))
+    stream = _Stream(file)
     while True:
         place = stream.place
         head = stream.line_block()
@@ -156,19 +165,55 @@ def _described(archive: str, place: int, fields: dict[str, str], block: bytes) -
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select(F.col("path").alias("archive"), "content")
+    """archive (its path), content, length of each archive; columns that are not used are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select(F.col("path").alias("archive"), "content", "length")
 
 
-def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """The header of each record, with the digest of its payload; see HEADER."""
+def _open(archive: str) -> BinaryIO:
+    if archive.startswith("file:"):
+        return open("/" + archive[5:].lstrip("/"), "rb")
+    if archive.startswith("s3a:"):
+        archive = "s3" + archive[3:]
+    files, path = pyarrow.fs.FileSystem.from_uri(quote(archive, safe=":/@"))
+    return files.open_input_stream(path)
+
+
+def _can_open(files: DataFrame) -> bool:
+    """Whether workers can open archives by their paths; a task tries one."""
+
+    def attempt(it):
+        for batch in it:
+            done = []
+            for archive in batch.column(0).to_pylist():
+                try:
+                    _open(archive).close()
+                    done.append(True)
+                except (OSError, ValueError, NotImplementedError):
+                    done.append(False)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.bool_())], names=["done"])
+
+    found = files.select("archive").limit(1).mapInArrow(attempt, "done boolean").first()
+    return found is None or found.done
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, str, BinaryIO]]:
+    """(row, archive, its file) for a batch with archive and, if workers cannot open paths, content."""
+    at = batch.schema.get_field_index("content")
+    raw, off = as_bytes(batch.column(at)) if at >= 0 else (None, None)
+    for i, archive in enumerate(batch.column(batch.schema.get_field_index("archive")).to_pylist()):
+        with _open(archive) if raw is None else io.BytesIO(raw[off[i] : off[i + 1]].data) as file:
+            yield i, archive, file
+
+
+def read_headers(spark: SparkSession, folder: str, direct: bool | None = None) -> DataFrame:
+    """The header of each record, with the digest of its payload; see HEADER. direct: workers open the paths; None: if they can."""
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in HEADER.split(", "))])
 
     def scan(it):
         for batch in it:
-            raw, off = as_bytes(batch.column(1))
-            for i, archive in enumerate(batch.column(0).to_pylist()):
+            for _, archive, file in _each(batch):
                 held = []
-                for place, fields, block in parse(raw[off[i] : off[i + 1]].data):
+                for place, fields, block in parse(file):
                     held.append(_described(archive, place, fields, block))
                     if len(held) >= 5000:
                         yield pa.RecordBatch.from_pylist(held, schema)
@@ -176,7 +221,9 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return _files(spark, folder).mapInArrow(scan, HEADER)
+    files = _files(spark, folder)
+    direct = _can_open(files) if direct is None else direct
+    return files.select("archive", *([] if direct else ["content"])).mapInArrow(scan, HEADER)
 
 
 def revisit_verdicts(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -191,21 +238,25 @@ def revisit_verdicts(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return later.select("archive", "place", F.col("original").alias("refers_to_record"), F.col("first.id").alias("refers_to"))
 
 
-def dedup_archives(spark: SparkSession, folder: str, least_bytes: int = 0, date: str = "2024-01-02T00:00:00Z", per_archive: int = PER_ARCHIVE) -> str:
+def dedup_archives(spark: SparkSession, folder: str, least_bytes: int = 0, date: str = "2024-01-02T00:00:00Z", per_archive: int = PER_ARCHIVE, direct: bool | None = None) -> str:
     """Archives of the same records in which repeated payloads are revisits of one response; the folder."""
-    verdicts = revisit_verdicts(stored(read_headers(spark, folder), "warc-headers"), least_bytes)
+    files = _files(spark, folder)
+    direct = _can_open(files) if direct is None else direct
+    verdicts = revisit_verdicts(stored(read_headers(spark, folder, direct), "warc-headers"), least_bytes)
+    # Tasks by the archives' size, as rows that are paths look tiny to the planner; hashing deals them unevenly, so more than cores.
+    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    parts = max(1, min(2 * size.n, max(4 * spark.sparkContext.defaultParallelism, size.bytes // TASK_BYTES)))
     # An archive has a bounded number of records, so its verdicts do too.
-    lists = verdicts.groupBy("archive").agg(F.collect_list(F.struct("place", "refers_to_record", "refers_to")).alias("verdicts"))
+    lists = verdicts.repartition(parts, "archive").groupBy("archive").agg(F.collect_list(F.struct("place", "refers_to_record", "refers_to")).alias("verdicts"))
 
     def rewritten(it):
         schema = pa.schema([("record", pa.binary())])
         for batch in it:
-            raw, off = as_bytes(batch.column(batch.schema.get_field_index("content")))
             told = batch.column(batch.schema.get_field_index("verdicts")).to_pylist()
-            for i in range(batch.num_rows):
+            for i, _, file in _each(batch):
                 verdict = {x["place"]: x for x in told[i] or []}
                 held, size = [], 0
-                for place, fields, block in parse(raw[off[i] : off[i + 1]].data):
+                for place, fields, block in parse(file):
                     held.append(_fresh(fields, block, verdict.get(place), date))
                     size += len(held[-1])
                     if size > 4 << 20:
@@ -215,7 +266,8 @@ def dedup_archives(spark: SparkSession, folder: str, least_bytes: int = 0, date:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
 
     out = shared_folder(spark, "warc-deduplicated")
-    records = _files(spark, folder).join(lists, "archive", "left").mapInArrow(rewritten, "record binary")
+    owned = files.select("archive").repartition(parts, "archive") if direct else files.select("archive", "content")
+    records = owned.join(lists, "archive", "left").mapInArrow(rewritten, "record binary")
     _write(records.select(F.col("record").cast("string").alias("value")), out, per_archive)
     return out
 

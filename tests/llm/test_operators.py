@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -130,6 +132,33 @@ def test_warc(spark, tmp_path):
     again = warc.read_headers(spark, warc.dedup_archives(spark, out))  # archives that hold revisits already
     assert got(again, "row_id", "record_type", "refers_to", "digest", "payload_bytes") == got(warc.read_headers(spark, out), "row_id", "record_type", "refers_to", "digest", "payload_bytes")
     assert warc.read_headers(spark, warc.write_archives(spark, pages.limit(0))).count() == 0
+    assert warc.read_headers(spark, warc.dedup_archives(spark, warc.write_archives(spark, pages.limit(0)))).count() == 0
+    names = ("row_id", "record_type", "refers_to", "digest", "payload_bytes")
+    by_spark = warc.read_headers(spark, warc.dedup_archives(spark, first, per_archive=2, direct=False), direct=False)
+    assert got(by_spark, *names) == got(warc.read_headers(spark, out), *names)
+    clashing = pages.withColumn("archive", F.lit("x")).withColumn("place", F.lit(1)).withColumn("digest", F.lit("y")).withColumn("verdicts", F.lit(None))
+    assert got(warc.read_headers(spark, warc.dedup_archives(spark, warc.write_archives(spark, clashing))), *names) == got(warc.read_headers(spark, out), *names)
+
+
+def test_warc_members():
+    def record(i):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {7 * i}\r\n\r\n{'abcdefg' * i}\r\n\r\n".encode()
+
+    members = [gzip.compress(record(i)) for i in (0, 1, 90_000, 3)]
+
+    class Cut(io.BytesIO):
+        """Gives a member at a time, so that members end where reads do."""
+
+        left = list(map(len, members))
+
+        def read(self, n=-1):
+            return super().read(self.left.pop(0) if self.left else n)
+
+    for file in (io.BytesIO(b"".join(members)), io.BytesIO(gzip.compress(b"".join(map(record, (0, 1, 90_000, 3))))), Cut(b"".join(members))):
+        assert [len(block) for _, _, block in warc.parse(file)] == [0, 7, 630_000, 21]
+    for broken in (b"".join(members)[:-40], gzip.compress(record(3)[:40]), gzip.compress(record(3)[:-10])):
+        with pytest.raises(ValueError, match="an archive ends within"):
+            list(warc.parse(io.BytesIO(broken)))
 
 
 # --- 2, 5, 4 ----------------------------------------------------------------------------------------------------------
