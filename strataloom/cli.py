@@ -15,17 +15,19 @@ import json
 import os
 import re
 import sys
+import tomllib
+from dataclasses import fields
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 from . import errors, schema
 from .config import Config
-from .expressions import Comparison, FieldRef, Filter, checked_path
+from .expressions import Comparison, Filter, reference
 from .model import Entity, Relation
 from .session import Session
 from .sources import jsonl
-from .sources.store import Store, now
+from .sources.store import Store, now, parse_uri
 
 _OPS = {"eq": "==", "ne": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "in": "in", "is_null": "is_null"}
 
@@ -55,8 +57,7 @@ def filters(triples: list[list[str]]) -> Filter | None:
     """PATH OP JSON triples, all of which must hold."""
     out = None
     for path, op, text in triples:
-        side, _, rest = path.partition(".")
-        ref = FieldRef(checked_path(rest), endpoint=side) if side in ("left", "right") and rest else FieldRef(checked_path(path))
+        ref = reference(path, endpoints=True)
         if op not in _OPS:
             raise Usage(f"unknown operator {op!r}; one of {', '.join(_OPS)}")
         value = json.loads(text)
@@ -90,8 +91,9 @@ def age(text: str) -> dt.datetime:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strataloom")
-    store = os.environ.get("STRATALOOM_STORE")
-    p.add_argument("--store", required=store is None, default=store, help="path or URI of the datastore; else STRATALOOM_STORE")
+    p.add_argument("--store", "--storage-uri", help="path or URI of the datastore; else STRATALOOM_STORE")
+    p.add_argument("--db", help="path of the datastore; else STRATALOOM_DB")
+    p.add_argument("--config", default=os.environ.get("STRATALOOM_CONFIG"), help="TOML or JSON file with settings of config.Config; else STRATALOOM_CONFIG")
     p.add_argument("--models", default=os.environ.get("STRATALOOM_MODELS"), help="module or .py file with entity and relation classes")
     p.add_argument("--namespace")
     p.add_argument("--json", action="store_true")
@@ -114,7 +116,7 @@ def parser() -> argparse.ArgumentParser:
     add("examine", (("commit_id",), {"type": int}))
     add("export", (("--output",), {"required": True}), (("--type",), {"action": "append"}), (("--as-of",), {"type": int}), (("--history-since",), {"type": int}), (("--with-metadata",), {"action": "store_true"}))
     add("import", (("input",), {}), (("--apply",), {"action": "store_true"}), (("--on-conflict",), {"choices": ["abort", "skip", "upsert"], "default": "abort"}), (("--precondition",), {}), (("--meta",), {"action": "append", "default": []}))
-    add("schema-export", (("--from-store",), {"action": "store_true"}))
+    add("schema-export", (("--from-store",), {"action": "store_true"}), (("--kind",), {"choices": ["entity", "relation"]}), (("--type",), {}), (("--version",), {"type": int}), (("--with-hash",), {"action": "store_true"}), (("--format",), {"choices": ["json", "yaml"], "default": "json"}), (("--output",), {}))
     add("schema-history", (("type",), {}))
     add("schema-drop", (("type",), {}), (("--purge-history",), {"action": "store_true"}), (("--with-dependents",), {"action": "store_true"}), (("--apply",), {"action": "store_true"}), (("--token",), {}))
     add("migrate", (("--apply",), {"action": "store_true"}), (("--token",), {}), (("--force",), {"action": "store_true"}), (("--upgraders",), {}))
@@ -143,8 +145,66 @@ def drop_token(store: Store, types: list[tuple[str, str]], purge: bool) -> str:
     return hashlib.sha256(f"{sorted(types)}/{purge}@{store.head()}".encode()).hexdigest()[:16]
 
 
+def place(args: argparse.Namespace) -> str:
+    """The datastore: what the command line names goes before the environment, and a URI there before a path."""
+    if args.store and args.db and parse_uri(args.store) != parse_uri(args.db):
+        raise Usage(f"--store and --db name different datastores: {args.store}, {args.db}")
+    found = args.store or args.db or os.environ.get("STRATALOOM_STORE") or os.environ.get("STRATALOOM_DB")
+    if not found:
+        raise Usage("no datastore: give --store or --db, or set STRATALOOM_STORE")
+    return found
+
+
+def settings(path: str | None) -> Config:
+    """Settings from a file of names and values."""
+    if not path:
+        return Config()
+    try:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        found = tomllib.loads(text) if path.endswith(".toml") else json.loads(text)
+    except OSError as e:
+        raise Usage(f"the settings cannot be read: {e}") from e
+    except ValueError as e:
+        raise Usage(f"{path} is neither TOML nor JSON: {e}") from e
+    if not isinstance(found, dict) or (unknown := found.keys() - {f.name for f in fields(Config)}):
+        raise Usage(f"{path} has no settings" if not isinstance(found, dict) else f"unknown settings: {', '.join(sorted(unknown))}")
+    return Config(**found)
+
+
+def yaml(value: Any, indent: int = 0) -> str:
+    """Nested dicts and lists as block YAML; scalars and empty ones as JSON, which YAML reads."""
+    pad = "  " * indent
+    if isinstance(value, dict) and value:
+        return "".join(f"{pad}{json.dumps(k)}:" + (f"\n{yaml(v, indent + 1)}" if isinstance(v, dict | list) and v else f" {yaml(v)}\n") for k, v in value.items())
+    if isinstance(value, list) and value:
+        return "".join(f"{pad}-" + (f"\n{yaml(v, indent + 1)}" if isinstance(v, dict | list) and v else f" {yaml(v)}\n") for v in value)
+    return json.dumps(value, default=str, ensure_ascii=False)
+
+
+def exported_schemas(args: argparse.Namespace, store: Store, models: dict[str, type]) -> list[dict[str, Any]]:
+    """The schemas of the models, or stored ones: the latest of all types, or a version of one."""
+    if not args.from_store:
+        if args.version is not None:
+            raise Usage("--version is for stored schemas: give --from-store too")
+        found = [{"kind": c.kind, "type_name": c.type_name, "schema": c.schema(), "hash": c.schema_hash()} for c in models.values()]
+        found = [x for x in found if args.kind in (None, x["kind"]) and args.type in (None, x["type_name"])]
+    else:
+        types = [(k, n) for k, n in store.types() if args.kind in (None, k) and args.type in (None, n)]
+        if args.version is not None and len(types) > 1:
+            raise Usage("--version is that of one type: give --type")
+        found = []
+        for kind, name in types:
+            versions = [v for v in store.schema_versions(kind, name) if args.version in (None, v["schema_version_id"])]
+            found += [{"kind": kind, "type_name": name, "version": v["schema_version_id"], "schema": v["schema"], "hash": v["hash"]} for v in versions[-1:]]
+    if not found and (args.type or args.version is not None):
+        raise NotFound("no such schema")
+    return found if args.with_hash else [{k: v for k, v in x.items() if k != "hash"} for x in found]
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> Any:
-    """The command's result: rows, or an object."""
+    """The command's result: rows, an object, or a text."""
+    args.store, config = place(args), settings(args.config)
     if args.command == "init":
         store = Store.__new__(Store)
         token = hashlib.sha256(args.store.encode()).hexdigest()[:16]
@@ -161,7 +221,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         return models[name]
 
     def session(validate: bool = True) -> Session:
-        s = Session(args.store, args.namespace, entity_types=[c for c in models.values() if issubclass(c, Entity)], relation_types=[c for c in models.values() if issubclass(c, Relation)], config=Config(), spark=spark)
+        s = Session(args.store, args.namespace, entity_types=[c for c in models.values() if issubclass(c, Entity)], relation_types=[c for c in models.values() if issubclass(c, Relation)], config=config, spark=spark)
         if validate:
             s.validate()
         return s
@@ -186,7 +246,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         if args.history_since is not None:
             q = q.history_since(args.history_since)
         if args.order_by:
-            q = q.order_by(FieldRef(checked_path(args.order_by)), args.desc)
+            q = q.order_by(args.order_by, args.desc)
         if args.limit is not None:
             q = q.limit(args.limit)
         if args.offset:
@@ -219,9 +279,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> Any:
         r = jsonl.load(session(), args.input, list(models.values()), args.apply, args.on_conflict, args.precondition, _pairs(args.meta))
         return [{"inserts": r.inserts, "updates": r.updates, "skips": r.skips, "conflicts": r.conflict_count, "commit_id": r.commit_id}]
     if name == "schema-export":
-        if args.from_store:
-            return store.list_schemas()
-        return [{"kind": c.kind, "type_name": c.type_name, "schema": c.schema()} for c in models.values()]
+        found = exported_schemas(args, store, models)
+        text = yaml(found) if args.format == "yaml" else json.dumps(found, default=str) + "\n"
+        if args.output:
+            with open(args.output, "w", encoding="utf-8") as f:
+                f.write(text)
+            return [{"schemas": len(found), "output": args.output}]
+        return text.rstrip("\n") if args.format == "yaml" or args.json else found
     if name in ("schema-history", "schema-drop"):
         kind = next((k for k, n in store.types() if n == args.type), None)
         if kind is None:
@@ -285,7 +349,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except tuple(c for c, _ in codes) as e:
         print(e, file=sys.stderr)
         return next(n for c, n in codes if isinstance(e, c))
-    print(json.dumps(found, default=str) if args.json else shown(found if isinstance(found, list) else [found], False))
+    if not isinstance(found, str):
+        found = json.dumps(found, default=str) if args.json else shown(found if isinstance(found, list) else [found], False)
+    print(found)
     return 0
 
 

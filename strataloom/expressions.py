@@ -28,6 +28,14 @@ def checked_path(path: str) -> tuple[str, ...]:
     return steps
 
 
+def reference(path: str, endpoints: bool = False) -> FieldRef:
+    """The field at a dotted path; with endpoints, 'left.' and 'right.' lead to the ends of a relation."""
+    side, _, rest = path.partition(".")
+    if endpoints and side in ("left", "right") and rest:
+        return FieldRef(checked_path(rest), endpoint=side)
+    return FieldRef(checked_path(path))
+
+
 class Filter:
     """A condition; combine with &, | and ~."""
 

@@ -6,14 +6,16 @@ A query's rows come from a provider: `history(cls)` gives the type's versions (s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import groupby
+from operator import itemgetter
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..expressions import Exists, FieldRef, Filter, Logic, compiled, endpoints, walk
+from ..expressions import Exists, FieldRef, Filter, Logic, compiled, endpoints, reference, walk
 from ..model import Entity, Meta, Relation
 from ..operators import graph, temporal
 from ..types import FieldType
@@ -172,9 +174,9 @@ class _Query:
         """Further conditions hold too."""
         return replace(self, condition=condition if self.condition is None else self.condition & condition)
 
-    def order_by(self, ref: FieldRef, desc: bool = False):
-        """One key; nulls are smallest."""
-        return replace(self, order=(ref, desc))
+    def order_by(self, ref: FieldRef | str, desc: bool = False):
+        """One key, a field or its path; nulls are smallest."""
+        return replace(self, order=(self._named(ref), desc))
 
     def limit(self, n: int):
         return replace(self, rows=n)
@@ -202,6 +204,9 @@ class _Query:
     def _resolve(self, ref: FieldRef) -> tuple[Column, FieldType]:
         return _field(self.cls, ref, F.col("fields"))
 
+    def _named(self, ref: FieldRef | str) -> FieldRef:
+        return reference(ref, issubclass(self.cls, Relation)) if isinstance(ref, str) else ref
+
     def _matching(self) -> DataFrame:
         raise NotImplementedError
 
@@ -265,8 +270,8 @@ class _Query:
     def avg_len(self, ref: FieldRef) -> float | None:
         return self.avg_len_df(ref).first()[0]
 
-    def group_by(self, ref: FieldRef) -> GroupedQuery:
-        return GroupedQuery(self, ref)
+    def group_by(self, ref: FieldRef | str) -> GroupedQuery:
+        return GroupedQuery(self, self._named(ref))
 
     def collect(self) -> list[Any]:
         raise NotImplementedError
@@ -505,10 +510,30 @@ class TraversalQuery:
         """source_key, destination_key, paths after the last hop."""
         return graph.destinations(self.source.state_df(), self._plan())
 
-    def collect(self) -> list[Path]:
-        """One path for each source, also for those that reach nothing."""
-        provider, sources = self.source.provider, self.source.collect()
-        rows = []
+    def without_relations_df(self) -> DataFrame:
+        """without_relations as rows: source_key, hop, type_name, key, times and its fields as JSON.
+
+        An entity that is not stored has null fields; a source that reaches nothing stands for itself, at hop 0.
+        """
+        source = self.source
+        start = source.state_df().select("key", F.to_json("fields").alias("fields"))
+        edges, out = self.edges_df(), []
+        for number, relation in enumerate(self.steps, 1):
+            side = "right" if issubclass(source.cls, relation.left_type) else "left"
+            cls = getattr(relation, f"{side}_type")
+            ends = edges.where(F.col("hop") == number).groupBy("source_key", F.col(f"{side}_key").alias("key")).agg(F.sum("paths").alias("times"))
+            stored = state(source.provider, cls, Mode())[0].select("key", F.to_json("fields").alias("fields"))
+            out.append(ends.join(stored, "key", "left").select("source_key", F.lit(number).alias("hop"), F.lit(cls.type_name).alias("type_name"), "key", "times", "fields"))
+        # Who leaves by the first hop reaches something.
+        alone = start if edges is None else start.join(edges.where("hop = 1").select(F.col("source_key").alias("key")), "key", "left_anti")
+        whole = alone.select(F.col("key").alias("source_key"), F.lit(0).alias("hop"), F.lit(source.cls.type_name).alias("type_name"), "key", F.lit(1).cast("long").alias("times"), "fields")
+        for part in out:
+            whole = whole.unionByName(part)
+        return whole
+
+    def _found(self) -> list[tuple[type[Relation], DataFrame]]:
+        """For each hop its relations with both ends, source_key and paths, in the sources' order."""
+        provider, out = self.source.provider, []
         at = self.source.state_df().select("key")
         frontier = at.select(F.col("key").alias("source_key"), F.col("key").alias("at"), F.lit(1).cast("long").alias("paths"))
         for relation, (edges, near) in zip(self.steps, self._plan(), strict=True):
@@ -517,19 +542,41 @@ class TraversalQuery:
             whole = reached
             for side in ("left", "right"):
                 whole = graph.with_endpoint(whole, state(provider, getattr(relation, f"{side}_type"), Mode())[0], side)
-            found = whole.orderBy("source_key", *temporal.RELATION_KEY).collect()
-            rows.append((relation, found))
+            out.append((relation, whole.orderBy("source_key", *temporal.RELATION_KEY)))
             frontier = reached.groupBy("source_key", F.col(f"{far}_key").alias("at")).agg(F.sum("paths").alias("paths"))
-        paths = {s.meta().key: Path(s) for s in sources}
-        for relation, found in rows:
-            for r in found:
-                obj = relation_of(relation, r)
-                for side in ("left", "right"):
-                    if r[side] is not None:
-                        setattr(obj, side, entity_of(getattr(relation, f"{side}_type"), r[side]["key"], r[side]["commit_id"], r[side]["fields"]))
-                paths[r["source_key"]].relations += [obj] * r["paths"]
+        return out
+
+    @staticmethod
+    def _met(relation: type[Relation], row: Any) -> list[Relation]:
+        obj = relation_of(relation, row)
+        for side in ("left", "right"):
+            if row[side] is not None:
+                setattr(obj, side, entity_of(getattr(relation, f"{side}_type"), row[side]["key"], row[side]["commit_id"], row[side]["fields"]))
+        return [obj] * row["paths"]
+
+    def collect(self) -> list[Path]:
+        """One path for each source, also for those that reach nothing."""
+        paths = {s.meta().key: Path(s) for s in self.source.collect()}
+        for relation, found in self._found():
+            for r in found.collect():
+                paths[r["source_key"]].relations += self._met(relation, r)
         return list(paths.values())
 
+    def iterate(self) -> Iterator[Path]:
+        """As collect, in the order of the sources' keys: the driver holds a partition of each hop at a time."""
+        hops = [(relation, groupby(found.toLocalIterator(), key=itemgetter("source_key"))) for relation, found in self._found()]
+        ahead = [next(groups, None) for _, groups in hops]
+        sources = self.source.state_df().select("key", "commit_id", "seq", "fields").orderBy("key", "commit_id", "seq")
+        for key, versions in groupby(sources.toLocalIterator(), key=itemgetter("key")):
+            *_, last = versions
+            path = Path(entity_of(self.source.cls, key, last["commit_id"], last["fields"]))
+            for i, (relation, groups) in enumerate(hops):
+                if ahead[i] is not None and ahead[i][0] == key:
+                    for r in ahead[i][1]:
+                        path.relations += self._met(relation, r)
+                    ahead[i] = next(groups, None)
+            yield path
+
     def without_relations(self) -> list[Any]:
         """The far entity of every relation of every hop; sources that reach nothing stand for themselves."""
         out = []

@@ -497,6 +497,23 @@ def traverse_back(spark, sf_dir):
     return df.select(F.col("source_key").cast("long").alias("source"), F.col("destination_key").cast("long").alias("destination"), "paths")
 
 
+@_query("""SELECT c_custkey AS source, 1 AS hop, 'Nation' AS type_name, n_nationkey::BIGINT AS key, 1::BIGINT AS times, n_name AS name
+           FROM customer JOIN nation ON c_nationkey = n_nationkey
+           UNION ALL SELECT c_custkey, 2, 'Nation', n_nationkey::BIGINT, 1, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def traverse_without_relations(spark, sf_dir):
+    """The entities that a traversal meets: the second relation does not start at customers, so its left end counts."""
+    df = _customers(spark, sf_dir).via(LivesIn).via(PartOf).without_relations_df()
+    return df.select(F.col("source_key").cast("long").alias("source"), "hop", "type_name", F.col("key").cast("long").alias("key"), "times", F.get_json_object("fields", "$.n_name").alias("name"))
+
+
+@_query("""SELECT c_custkey AS source, CASE WHEN o_orderkey IS NULL THEN 0 ELSE 1 END AS hop, count(*)::BIGINT AS entities
+           FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 0 GROUP BY ALL""")
+def traverse_without_relations_alone(spark, sf_dir):
+    """Sources that reach nothing stand for themselves at hop 0."""
+    df = _customers(spark, sf_dir).via(Placed).without_relations_df()
+    return df.groupBy(F.col("source_key").cast("long").alias("source"), "hop").agg(F.sum("times").alias("entities"))
+
+
 # --- reconciliation ---------------------------------------------------------------------------------------------------
 
 

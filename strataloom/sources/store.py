@@ -111,6 +111,8 @@ class Store:
             if not create:
                 raise UninitializedStorageError(uri)
             self.initialise()
+        if self._engine.get("engine") != ENGINE:
+            raise StorageBackendError("open", f"{uri} was written by engine {self._engine.get('engine')!r}, and this is {ENGINE!r}")
         self._manifests: dict[int, dict[str, Any]] = {}
 
     # --- set up ------------------------------------------------------------------------------------------------

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+import json
+
 import pytest
 
 import strataloom as sl
-from strataloom import Config, Entity, Field, Session, left, right
+from strataloom import Config, Entity, Field, Session, count, left, right
+from strataloom.errors import StorageBackendError
 
 from .models import Beside, Mount, Probe, Reading, Sensor, Service, Station
 
@@ -120,6 +124,29 @@ def test_traversal(field):
     assert sorted((r.left_key, r.right_key) for r in both.relations) == [("a", "m"), ("b", "m"), ("b", "m")]
     ends = {(r.source_key, r.destination_key): r.paths for r in q.via(Mount).via(Mount).destinations_df().collect()}
     assert ends == {("a", "a"): 2, ("a", "b"): 1, ("b", "a"): 1, ("b", "b"): 1, ("c", "c"): 1}
+    for t in (q.via(Mount), q.via(Mount).via(Mount), q.where(Sensor.place == "nowhere").via(Mount)):
+        assert sorted((p.source.code, [(type(r), r.meta()) for r in p.relations]) for p in t.collect()) == [(p.source.code, [(type(r), r.meta()) for r in p.relations]) for p in t.iterate()]
+        told = collections.Counter({(r.type_name, r.key): 0 for r in t.without_relations_df().collect()})
+        for r in t.without_relations_df().collect():
+            told[r.type_name, r.key] += r.times
+        assert told == collections.Counter((type(e).type_name, e.key) for e in t.without_relations())
+
+
+def test_fields_by_name(field):
+    q = field.query().entities(Sensor)
+    assert [e.code for e in q.order_by("code", desc=True).collect()] == [e.code for e in q.order_by(Sensor.code, desc=True).collect()]
+    assert {r["place"] for r in q.group_by("place").agg(n=count())} == {e.place for e in q.collect()}
+    mounts = field.query().relations(Mount)
+    assert sorted(map(str, mounts.group_by("left.place").agg(n=count()))) == sorted(map(str, mounts.group_by(left(Mount).place).agg(n=count())))
+    with pytest.raises(ValueError, match="invalid path"):
+        q.order_by("a b")
+
+
+def test_other_engine(spark, tmp_path):
+    Session(str(tmp_path / "e"), spark=spark, entity_types=[Sensor])
+    (tmp_path / "e" / "engine.json").write_text(json.dumps({"engine": "v9"}))
+    with pytest.raises(StorageBackendError, match="'v9'"):
+        Session(str(tmp_path / "e"), spark=spark, entity_types=[Sensor])
 
 
 def test_history_and_noop(spark, tmp_path):

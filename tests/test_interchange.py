@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
 
@@ -9,7 +10,7 @@ import pytest
 
 import strataloom as sl
 from strataloom import Session
-from strataloom.cli import main
+from strataloom.cli import main, parser, settings
 from strataloom.sources import jsonl
 
 from .models import Mount, Sensor, Service, Station
@@ -86,6 +87,13 @@ def test_cli(spark, tmp_path, capsys):
     assert call("migrate")[0]["has_changes"] is False
     assert call("namespaces") == [] and call("events") == [] and call("cleanup") == [{"deleted": 0}]
     call("entities", "Nope", code=7)
+    assert call("schema-export", "--from-store", "--type", "Sensor", "--version", "1", "--with-hash")[0]["hash"] == Sensor.schema_hash()
+    assert "hash" not in call("schema-export", "--type", "Sensor", "--kind", "entity")[0]
+    call("schema-export", "--type", "Sensor", "--version", "1", code=2)
+    call("schema-export", "--from-store", "--type", "Sensor", "--version", "9", code=7)
+    told, out = call("schema-export"), tmp_path / "schemas.yaml"
+    assert call("schema-export", "--format", "yaml", "--output", str(out))[0]["schemas"] == len(told)
+    assert pytest.importorskip("yaml").safe_load(out.read_text()) == told
     call("entities", "Sensor", "--filter", "height", "like", "2", code=2)
     call("schema-drop", "Sensor", code=2)  # relations depend on it
     assert call("export", "--output", str(tmp_path / "o"), "--type", "Sensor")[0]["type_name"] == "Sensor"
@@ -99,6 +107,32 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["--store", uri, "--models", MODELS, "commits"], spark) == 0 and "created_at" in capsys.readouterr().out
 
 
+def test_cli_globals(spark, tmp_path, capsys, monkeypatch):
+    for name in ("STRATALOOM_STORE", "STRATALOOM_DB", "STRATALOOM_CONFIG"):
+        monkeypatch.delenv(name, raising=False)
+    here, there = str(tmp_path / "here"), str(tmp_path / "there")
+
+    def call(*args):
+        code = main(["--json", *args], spark)
+        return code, capsys.readouterr()
+
+    assert call("commits")[0] == 2  # no datastore
+    assert call("--db", here, "init")[0] == 0 and call("--storage-uri", f"file://{here}", "--db", here, "commits")[0] == 0
+    code, said = call("--store", there, "--db", here, "commits")
+    assert code == 2 and "different datastores" in said.err
+    monkeypatch.setenv("STRATALOOM_STORE", there)
+    assert call("commits")[0] == 3 and call("--db", here, "commits")[0] == 0
+    path = tmp_path / "settings.toml"
+    path.write_text('default_namespace = "lab"\n')
+    args = argparse.Namespace(**vars(parser().parse_args(["--db", here, "--config", str(path), "info"])))
+    assert settings(args.config).default_namespace == "lab" and settings(None).default_namespace == "default"
+    path.write_text("no_such = 1\n")
+    code, said = call("--db", here, "--config", str(path), "commits")
+    assert code == 2 and "no_such" in said.err
+    path.write_text("[")
+    assert call("--db", here, "--config", str(path), "commits")[0] == 2 and call("--db", here, "--config", str(tmp_path / "none"), "commits")[0] == 2
+
+
 def test_conflicts_are_counted_whole(session, tmp_path):
     path = tmp_path / "in.jsonl"
     path.write_text("".join(json.dumps({"type_kind": "entity", "type_name": "Sensor", "key": f"n{i}", "fields": {"code": f"n{i}", "place": "N", "height": i}}) + "\n" for i in range(150)))
