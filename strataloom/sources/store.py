@@ -5,7 +5,7 @@
                               creating it publishes
     data/<kind>/<type>/...    Parquet: identity, commit_id, schema_version_id, seq, fields
     schemas/<kind>/<type>/<version>.json, layouts.json, dropped.json
-    index/<kind>/<type>.json  which files hold which commits; advisory, as manifests say it too
+    index/<kind>/<type>.json  which files hold which commits, older entries in files beside it; advisory, as manifests say it too
     lock.json                 the write lease
 
 Nothing of a commit is visible before its manifest is, and a manifest is created by one step of the store: a link on
@@ -20,12 +20,15 @@ from __future__ import annotations
 import atexit
 import datetime as dt
 import json
+import math
 import os
 import shutil
 import tempfile
 import threading
 import time
 import uuid
+from bisect import bisect_right
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +43,10 @@ from ..types import FieldType, struct_of
 from .files import Files
 
 ENGINE = "v2"
+#: Entries of a type's index file; older ones are sealed in files of as many.
+INDEX_ENTRIES = 256
+#: Manifests that the driver reads one by one; executors read more.
+MANIFESTS_AT_ONCE = 64
 #: Identities that are broadcast at most, some 10 MB.
 BROADCAST_KEYS = 100_000
 
@@ -274,31 +281,54 @@ class Store:
     def _index_name(self, kind: str, name: str) -> str:
         return f"index/{kind}/{name}.json"
 
+    def _read_index(self, kind: str, name: str) -> dict[str, Any]:
+        """The newest entries, and the files in which each INDEX_ENTRIES older ones are sealed."""
+        return {"sealed": [], "entries": [], "max_indexed_commit": 0} | (self.files.read_json(self._index_name(kind, name)) or {})
+
     def _index(self, kind: str, name: str, commit_id: int, path: str) -> None:
         """Best effort: a reader that finds the index behind the head takes the manifests."""
-        found = self.files.read_json(self._index_name(kind, name)) or {"entries": [], "max_indexed_commit": 0}
+        found = self._read_index(kind, name)
         if found["max_indexed_commit"] < commit_id - 1:  # repairs what is missing below
-            found["entries"] += [e for e in self._entries(kind, name) if found["max_indexed_commit"] < e["min_commit_id"] < commit_id]
+            found["entries"] += self._entries(kind, name, found["max_indexed_commit"], commit_id - 1)
         found["entries"].append({"min_commit_id": commit_id, "max_commit_id": commit_id, "path": path})
         found["max_indexed_commit"] = commit_id
-        self.files.write_json(self._index_name(kind, name), found)
-
-    def _entries(self, kind: str, name: str) -> list[dict[str, Any]]:
-        """From the manifests."""
-        return [
-            {"min_commit_id": i, "max_commit_id": i, "path": t["path"]}
-            for i in self.commit_ids()
-            for t in self.manifest(i)["types"]
-            if (t["kind"], t["type_name"]) == (kind, name)
-        ]
+        self._write_index(kind, name, found)
+
+    def _write_index(self, kind: str, name: str, index: dict[str, Any]) -> None:
+        """A commit writes at most INDEX_ENTRIES entries, however many there are."""
+        while len(index["entries"]) > INDEX_ENTRIES:
+            full, index["entries"] = index["entries"][:INDEX_ENTRIES], index["entries"][INDEX_ENTRIES:]
+            part = {"min_commit_id": min(e["min_commit_id"] for e in full), "max_commit_id": max(e["max_commit_id"] for e in full), "file": f"index/{kind}/{name}/{uuid.uuid4().hex}.json"}
+            self.files.write_json(part["file"], full)
+            index["sealed"].append(part)
+        self.files.write_json(self._index_name(kind, name), index)
+
+    def _sealed(self, index: dict[str, Any], lower: int | None = None, upper: int | None = None) -> list[tuple[dict[str, Any], list[dict[str, Any]] | None]]:
+        """The sealed files that touch commits of (lower, upper], each with its entries; None if it is lost."""
+        parts = [p for p in index["sealed"] if (lower is None or p["max_commit_id"] > lower) and (upper is None or p["min_commit_id"] <= upper)]
+        return [(p, self.files.read_json(p["file"])) for p in parts]
+
+    def _entries(self, kind: str, name: str, lower: int = 0, upper: int | None = None) -> list[dict[str, Any]]:
+        """From the manifests of (lower, upper]; very many are read by executors."""
+        ids = [i for i in self.commit_ids() if i > lower and (upper is None or i <= upper)]
+        if sum(i not in self._manifests for i in ids) <= MANIFESTS_AT_ONCE:
+            found = [(i, t["path"]) for i in ids for t in self.manifest(i)["types"] if (t["kind"], t["type_name"]) == (kind, name)]
+        else:
+            texts = self.spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{self.files.root}/manifests")
+            read = texts.select(F.from_json("value", "id long, types array<struct<kind: string, type_name: string, path: string>>").alias("m"))
+            read = read.where((F.col("m.id") > lower) & (F.col("m.id") <= ids[-1])).select("m.id", F.explode("m.types").alias("t"))
+            found = sorted((r["id"], r["path"]) for r in read.where((F.col("t.kind") == kind) & (F.col("t.type_name") == name)).select("id", "t.path").collect())
+        return [{"min_commit_id": i, "max_commit_id": i, "path": path} for i, path in found]
 
     def entries(self, kind: str, name: str, lower: int | None = None, upper: int | None = None) -> list[dict[str, Any]]:
         """The files that hold commits of (lower, upper]."""
-        found = self.files.read_json(self._index_name(kind, name)) or {"entries": [], "max_indexed_commit": 0}
-        out = found["entries"]
-        behind = [i for i in self.commit_ids() if i > found["max_indexed_commit"]]
-        if behind:
-            out = out + [e for e in self._entries(kind, name) if e["min_commit_id"] > found["max_indexed_commit"]]
+        index = self._read_index(kind, name)
+        out = []
+        for part, held in self._sealed(index, lower, upper):
+            out += self._entries(kind, name, part["min_commit_id"] - 1, part["max_commit_id"]) if held is None else held
+        out += index["entries"]
+        if (self.head() or 0) > index["max_indexed_commit"]:
+            out += self._entries(kind, name, index["max_indexed_commit"], upper)
         purged = (self.files.read_json("dropped.json") or {}).get(f"{kind}/{name}", {})
         return [e for e in out if (lower is None or e["max_commit_id"] > lower) and (upper is None or e["min_commit_id"] <= upper) and e["max_commit_id"] > purged.get("purged_to", 0)]
 
@@ -308,10 +338,14 @@ class Store:
         for k, n in self.types():
             if (kind and k != kind) or (name and n != name):
                 continue
-            index = self.files.read_json(self._index_name(k, n)) or {"entries": [], "max_indexed_commit": 0}
-            want = {e["min_commit_id"] for e in self._entries(k, n)}
-            missing = sorted(i for i in want if not any(e["min_commit_id"] <= i <= e["max_commit_id"] for e in index["entries"]))
-            lost = [e["path"] for e in index["entries"] if not self.files.exists(e["path"])]
+            index = self._read_index(k, n)
+            parts = self._sealed(index)
+            held = [e for _, entries in parts for e in entries or []] + index["entries"]
+            spans = sorted((e["min_commit_id"], e["max_commit_id"]) for e in held)
+            # The furthest end of the spans that begin up to a commit says whether one covers it.
+            ends = list(accumulate((end for _, end in spans), max))
+            missing = [i for i in sorted({e["min_commit_id"] for e in self._entries(k, n)}) if not (at := bisect_right(spans, (i, math.inf))) or ends[at - 1] < i]
+            lost = [p["file"] for p, entries in parts if entries is None] + [e["path"] for e in held if not self.files.exists(e["path"])]
             out.append({"kind": k, "type_name": n, "ok": not missing and not lost, "missing_commits": missing, "missing_files": lost})
         return out
 
@@ -321,7 +355,7 @@ class Store:
         if apply:
             for x in wrong:
                 entries = self._entries(x["kind"], x["type_name"])
-                self.files.write_json(self._index_name(x["kind"], x["type_name"]), {"entries": entries, "max_indexed_commit": max((e["max_commit_id"] for e in entries), default=0)})
+                self._write_index(x["kind"], x["type_name"], {"sealed": [], "entries": entries, "max_indexed_commit": max((e["max_commit_id"] for e in entries), default=0)})
         return wrong
 
     def compact(self, type_name: str | None = None, apply: bool = False, target_rows: int = 5_000_000) -> list[dict[str, Any]]:
@@ -330,7 +364,8 @@ class Store:
         for kind, name in self.types():
             if type_name and name != type_name:
                 continue
-            entries = self.entries(kind, name)
+            head = self.head() or 0  # commits that come meanwhile are behind the new index, so readers find them in the manifests
+            entries = self.entries(kind, name, upper=head)
             plan = {"kind": kind, "type_name": name, "files": len(entries), "applied": False}
             out.append(plan)
             if not apply or len(entries) < 2:
@@ -342,12 +377,12 @@ class Store:
             for version in versions:  # versions differ in their fields, so each has its own snapshot
                 stored = self.schema_version(kind, name, version)
                 shape = payload_of(stored["schema"]) if stored else payload
-                part = self.raw_history(kind, name, payload=shape).where(F.col("schema_version_id") == version)
+                part = self.raw_history(kind, name, upper=high, payload=shape).where(F.col("schema_version_id") == version)
                 path = f"data/{kind}/{name}/snapshot-{high:012d}-{version}-{uuid.uuid4().hex[:8]}"
                 rows = part.count()
                 part.repartitionByRange(max(1, rows // target_rows), *keys_of(kind)).sortWithinPartitions(*keys_of(kind), "commit_id").write.parquet(f"{self.files.root}/{path}")
                 merged.append({"min_commit_id": low, "max_commit_id": high, "path": path})
-            self.files.write_json(self._index_name(kind, name), {"entries": merged, "max_indexed_commit": max(high, (self.head() or 0))})
+            self._write_index(kind, name, {"sealed": [], "entries": merged, "max_indexed_commit": head})
             plan["applied"] = True
         return out
 
@@ -494,6 +529,7 @@ class Store:
             entry["purged_to"] = commit_id
             self.files.delete(f"data/{kind}/{name}")
             self.files.delete(self._index_name(kind, name))
+            self.files.delete(f"index/{kind}/{name}")
         self.files.write_json("dropped.json", dropped)
         self.files.write_json("layouts.json", [x for x in self.layouts() if (x["kind"], x["type_name"]) != (kind, name)])
         return commit_id

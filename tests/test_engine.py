@@ -10,6 +10,7 @@ import pytest
 import strataloom as sl
 from strataloom import Config, Entity, Field, Session, count, left, right
 from strataloom.errors import StorageBackendError
+from strataloom.sources import store
 
 from .models import Beside, Mount, Probe, Reading, Sensor, Service, Station
 
@@ -363,6 +364,44 @@ def test_migration(spark, tmp_path):
     assert not s.migrate().has_changes
 
 
+def test_long_logs(spark, tmp_path, monkeypatch):
+    """Index entries are sealed, and many manifests are read by executors."""
+    monkeypatch.setattr(store, "INDEX_ENTRIES", 2)
+    s = Session(str(tmp_path / "l"), spark=spark, entity_types=[Sensor, Station])
+    for n in range(6):
+        s.ensure(Sensor(code=f"c{n}", place="n", height=n) if n != 3 else Station(site="s", power=1.0))
+        s.commit()
+    index = s.store.files.read_json("index/entity/Sensor.json")
+    assert (len(index["sealed"]), len(index["entries"])) == (2, 1) and s.store.verify_index()[0]["ok"]
+
+    def commits(opened, *span):
+        return [e["min_commit_id"] for e in opened.entries("entity", "Sensor", *span)]
+
+    assert commits(s.store) == [1, 2, 3, 5, 6] and commits(s.store, 2, 5) == [3, 5] and commits(s.store, 6) == []
+    assert len(s.query().entities(Sensor).history_since(2).collect()) == 3
+    # A sealed file is lost: readers take the manifests, verify tells, repair mends.
+    s.store.files.delete(index["sealed"][0]["file"])
+    monkeypatch.setattr(store, "MANIFESTS_AT_ONCE", 1)
+    fresh = store.Store(spark, str(tmp_path / "l"))
+    assert commits(fresh) == [1, 2, 3, 5, 6]
+    told = next(x for x in fresh.verify_index() if x["type_name"] == "Sensor")
+    assert told["missing_commits"] == [1, 2] and told["missing_files"] == [index["sealed"][0]["file"]]
+    fresh.repair_index()
+    assert all(x["ok"] for x in fresh.verify_index()) and commits(fresh) == [1, 2, 3, 5, 6]
+    # A commit that comes while files are merged is behind the new index, not lost.
+    merged, late = fresh.raw_history, []
+
+    def slow(*args, **how):
+        if not late:
+            late.append(s.ensure(Sensor(code="late", place="n", height=0)))
+            assert s.commit() == 7
+        return merged(*args, **how)
+
+    monkeypatch.setattr(fresh, "raw_history", slow)
+    fresh.compact("Sensor", apply=True)
+    assert sorted(e.code for e in s.query().entities(Sensor).collect()) == ["c0", "c1", "c2", "c4", "c5", "late"]
+
+
 def test_maintenance(spark, tmp_path):
     s = Session(str(tmp_path / "c"), spark=spark, entity_types=[Sensor])
     for n in range(4):
