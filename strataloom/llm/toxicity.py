@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +112,10 @@ def matches(text: str, automaton) -> list[tuple[int, int, float]]:
             continue
         (spared if weight is None else found).append((begin, end, weight))
     if spared:
-        found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in spared)]
+        # An entry is within a phrase if one that begins no later ends no earlier.
+        spared.sort()
+        begins, ends = [x[0] for x in spared], list(accumulate((x[1] for x in spared), max))
+        found = [x for x in found if not (at := bisect_right(begins, x[0])) or ends[at - 1] < x[1]]
     return found
 
 
